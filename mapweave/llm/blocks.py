@@ -141,8 +141,8 @@ def answered(requests: DataFrame, answer: Callable[[list[int], list[bytes]], tup
     return requests.groupBy("bucket").applyInArrow(run, schema)
 
 
-def met(blocks: DataFrame, replies: DataFrame, use: Callable[[bytes, dict[int, dict[int, bytes]]], pa.Table], schema: str) -> DataFrame:
-    """``use(docs, {part: {bucket: reply}})`` for every block and the replies to it."""
+def met(blocks: DataFrame, replies: DataFrame, use: Callable[[bytes, dict[int, dict[int, bytes]]], pa.Table], schema: str, keep_block: bool = False) -> DataFrame:
+    """``use(docs, {part: {bucket: reply}})`` for every block and the replies to it; with ``keep_block`` a column ``block`` is added."""
     empty = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -151,6 +151,9 @@ def met(blocks: DataFrame, replies: DataFrame, use: Callable[[bytes, dict[int, d
         got: dict[int, dict[int, bytes]] = {}
         for bucket, part, reply in zip(right["bucket"].to_pylist(), right["part"].to_pylist(), right["reply"].to_pylist(), strict=True):
             got.setdefault(part, {})[bucket] = reply
-        return pa.concat_tables(use(x, got) for x in left["docs"].to_pylist()).cast(empty)
+        out = pa.concat_tables(use(x, got) for x in left["docs"].to_pylist())
+        if keep_block:
+            out = out.append_column("block", pa.array(left["block"].to_pylist()[:1] * out.num_rows, pa.int64()))
+        return out.select(empty.names).cast(empty)
 
     return blocks.select("block", "docs").groupBy("block").cogroup(replies.select("block", "bucket", "part", "reply").groupBy("block")).applyInArrow(run, schema)
