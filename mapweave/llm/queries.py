@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mapweave.llm import decontaminate, lm, quality, secrets, substrings
+from mapweave.llm import decontaminate, lm, quality, secrets, substrings, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +33,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"), urls.listed_sites(spark))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op3_substring_dedup, op6_secret_scan, op9_lm_score, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_decontaminate, op3_substring_dedup, op6_secret_scan, op7_url_filter, op9_lm_score, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
