@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mapweave.llm import decontaminate, lm, pii, quality, secrets, substrings, urls
+from mapweave.llm import decontaminate, lm, pii, quality, rulefit, secrets, substrings, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,8 +41,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rulefit.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_substring_dedup, op6_secret_scan, op7_url_filter, op9_lm_score, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_substring_dedup, op5_quality_classifier, op6_secret_scan, op7_url_filter, op9_lm_score, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
