@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mapweave.llm import decontaminate, jaccard, lm, pii, quality, rulefit, secrets, substrings, urls
+from mapweave.llm import decontaminate, jaccard, lattice, lm, pii, quality, rulefit, secrets, substrings, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,8 +49,12 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.round_trip(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_substring_dedup, op5_quality_classifier, op6_secret_scan, op7_url_filter, op8_jaccard_join, op9_lm_score, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_substring_dedup, op4_sentencepiece, op5_quality_classifier, op6_secret_scan, op7_url_filter, op8_jaccard_join, op9_lm_score, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
