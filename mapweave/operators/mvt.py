@@ -1,0 +1,199 @@
+"""Vector tiles and point lists as protobuf bytes, written and read by hand."""
+
+from __future__ import annotations
+
+import struct
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Numbers of the bases of record in point lists.
+NUMBERS = {"UNKNOWN": 0, "PRESERVED_SPECIMEN": 1, "FOSSIL_SPECIMEN": 2, "LIVING_SPECIMEN": 3, "OBSERVATION": 4, "HUMAN_OBSERVATION": 5, "MACHINE_OBSERVATION": 6, "MATERIAL_SAMPLE": 7, "LITERATURE": 8, "OCCURRENCE": 9, "MATERIAL_CITATION": 10}
+NAMES = {v: k for k, v in NUMBERS.items()}
+
+
+def _varint(n: int) -> bytes:
+    n &= (1 << 64) - 1
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    out.append(n)
+    return bytes(out)
+
+
+def _field(number: int, value: int | bytes | float) -> bytes:
+    if isinstance(value, float):
+        return _varint(number << 3 | 1) + struct.pack("<d", value)
+    if isinstance(value, int):
+        return _varint(number << 3) + _varint(value)
+    return _varint(number << 3 | 2) + _varint(len(value)) + value
+
+
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes | float]]:
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        n = shift = 0
+        while True:
+            b = data[at]
+            at += 1
+            n |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return n
+
+    while at < len(data):
+        tag = varint()
+        kind = tag & 7
+        if kind == 0:
+            yield tag >> 3, varint()
+        elif kind == 1:
+            at += 8
+            yield tag >> 3, struct.unpack("<d", data[at - 8 : at])[0]
+        elif kind == 2:
+            n = varint()
+            at += n
+            yield tag >> 3, data[at - n : at]
+        elif kind == 5:
+            at += 4
+            yield tag >> 3, data[at - 4 : at]
+        else:
+            raise ValueError("not a vector tile")
+
+
+def _packed(numbers: list[int]) -> bytes:
+    return b"".join(map(_varint, numbers))
+
+
+def _unpacked(data: bytes) -> list[int]:
+    out, n, shift = [], 0, 0
+    for b in data:
+        n |= (b & 127) << shift
+        shift += 7
+        if b < 128:
+            out.append(n)
+            n = shift = 0
+    return out
+
+
+def _zigzag(n: int) -> int:
+    return n << 1 ^ n >> 63
+
+
+def _unzigzag(n: int) -> int:
+    return n >> 1 ^ -(n & 1)
+
+
+def encode_tile(layers: dict[str, list[tuple[int, int, dict[str, int]]]], size: int = 512) -> bytes:
+    """Layers of point features (x, y, attributes with whole values)."""
+    out = b""
+    for name, features in layers.items():
+        keys: dict[str, int] = {}
+        values: dict[int, int] = {}
+        body = b""
+        for x, y, attributes in features:
+            tags = []
+            for k, v in attributes.items():
+                tags += [keys.setdefault(k, len(keys)), values.setdefault(v, len(values))]
+            body += _field(2, _field(2, _packed(tags)) + _field(3, 1) + _field(4, _packed([9, _zigzag(x), _zigzag(y)])))
+        layer = _field(15, 2) + _field(1, name.encode()) + body + b"".join(_field(3, k.encode()) for k in keys) + b"".join(_field(4, _field(4, v)) for v in values) + _field(5, size)
+        out += _field(3, layer)
+    return out
+
+
+def decode_tile(data: bytes, only: set[str] | None = None) -> dict[str, list[tuple[int, int, dict[str, int]]]]:
+    """Layers of points, all or those named; an attribute that isn't a whole number counts as 1."""
+    out: dict[str, list] = {}
+    for number, layer in _fields(data):
+        if number != 3:
+            continue
+        name, features, keys, values = "", [], [], []
+        for k, v in _fields(layer):
+            if k == 1:
+                name = v.decode()
+            elif k == 2:
+                features.append(v)
+            elif k == 3:
+                keys.append(v.decode())
+            elif k == 4:
+                value = 1
+                for kind, x in _fields(v):
+                    value = _unzigzag(x) if kind == 6 else x if kind in (4, 5, 7) else int(x) if kind == 1 and x.isdigit() else 1
+                values.append(value)
+        if only is not None and name not in only:
+            continue
+        for feature in features:
+            tags, shape = [], []
+            for k, v in _fields(feature):
+                tags, shape = (_unpacked(v), shape) if k == 2 else (tags, _unpacked(v)) if k == 4 else (tags, shape)
+            if len(shape) >= 3 and shape[0] & 7 == 1:
+                out.setdefault(name, []).append((_unzigzag(shape[1]), _unzigzag(shape[2]), {keys[a]: values[b] for a, b in zip(tags[::2], tags[1::2], strict=True)}))
+    return out
+
+
+def encode_points(points: list[tuple[float, float, str, int, int]]) -> bytes:
+    """Point lists (latitude, longitude, basis, year, count) with their real counts."""
+    out = b""
+    for lat, lng, basis, year, count in points:
+        out += _field(1, _field(1, float(lat)) + _field(2, float(lng)) + _field(3, NUMBERS[basis]) + (_field(4, year) if year else b"") + (_field(5, count) if count != 1 else b""))
+    return out
+
+
+def decode_points(data: bytes) -> list[tuple[float, float, str, int, int]]:
+    out = []
+    for _, one in _fields(data):
+        f = dict(_fields(one))
+        out.append((f[1], f[2], NAMES[f[3]], f.get(4, 0), f.get(5, 1)))
+    return out
+
+
+def encoded_tiles(rows: DataFrame, size: int = 512) -> DataFrame:
+    """(mapKey, z, tileX, tileY, tile): one layer per basis of record, years as attributes.
+
+    Pixels are gathered in the engine, and one tile has at most as many as it has pixels; only the bytes
+    are written in Python.
+    """
+    at = ["mapKey", "z", "tileX", "tileY"]
+    pixels = rows.groupBy(*at, "bor", "pixelX", "pixelY").agg(F.sort_array(F.collect_list(F.struct("year", "cnt"))).alias("years"))
+    layers = pixels.groupBy(*at).agg(F.sort_array(F.collect_list(F.struct("bor", "pixelX", "pixelY", "years"))).alias("features"))
+
+    def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            tiles = []
+            for features in part.pop("features"):
+                made: dict[str, list] = {}
+                for f in features:
+                    made.setdefault(f["bor"], []).append((f["pixelX"], f["pixelY"], {str(y["year"]): int(y["cnt"]) for y in f["years"]}))
+                tiles.append(encode_tile(made, size))
+            yield part.assign(tile=tiles)
+
+    return layers.mapInPandas(encode, "mapKey string, z int, tileX int, tileY int, tile binary")
+
+
+def decoded_tiles(stored: DataFrame, only: set[str] | None = None) -> DataFrame:
+    """The rows of encoded tiles again."""
+
+    def decode(parts):
+        for part in parts:
+            rows = []
+            for key, z, x, y, data in part[["mapKey", "z", "tileX", "tileY", "tile"]].itertuples(index=False):
+                for bor, features in decode_tile(bytes(data), only).items():
+                    rows += [(key, z, x, y, px, py, bor, int(k), v) for px, py, years in features for k, v in years.items() if k.lstrip("-").isdigit()]
+            yield pd.DataFrame(rows, columns=["mapKey", "z", "tileX", "tileY", "pixelX", "pixelY", "bor", "year", "cnt"])
+
+    return stored.mapInPandas(decode, "mapKey string, z int, tileX int, tileY int, pixelX int, pixelY int, bor string, year int, cnt long")
+
+
+def encoded_points(listed: DataFrame) -> DataFrame:
+    """(mapKey, points) from unpacked point rows; keys are small ones, whose lists are under the tile threshold."""
+    lists = listed.groupBy("mapKey").agg(F.sort_array(F.collect_list(F.struct("lat", "lng", "bor", "year", "cnt"))).alias("list"))
+
+    def encode(parts):
+        for part in parts:
+            yield pd.DataFrame({"mapKey": part["mapKey"], "points": [encode_points([(p["lat"], p["lng"], p["bor"], p["year"], p["cnt"]) for p in x]) for x in part["list"]]})
+
+    return lists.mapInPandas(encode, "mapKey string, points binary")
