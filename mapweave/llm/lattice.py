@@ -1,7 +1,7 @@
 """SentencePiece encoding over a relational lattice, and decoding.
 
-Texts are cut into words (a space and what follows it up to the next), and each distinct word is
-encoded once. Its substrings up to the longest piece are exploded and equi-joined with the piece table;
+Texts are cut into words (a space and what follows it, and again between letters or digits and those
+marks that no piece has beside one), and each distinct word is encoded once. Its substrings up to the longest piece are exploded and equi-joined with the piece table;
 the pieces found are the edges of the word's lattice, grouped by word and folded with ``aggregate``.
 
 The models at hand are byte-pair models: their pieces' scores are merge priorities, and the sum of
@@ -11,14 +11,15 @@ taken if it spans just two symbols, whose boundary it removes. That is the libra
 merge never opens a better one. Where an edge could still be taken at the end, the word is encoded
 again by explicit merging, as are words with over ``MASK`` characters or several spaces.
 
-What moves: every block of documents asks for each of its distinct words once, the answer comes back
-once, and the documents travel as word numbers.
+What moves: every block of documents asks for each of its distinct words once, the answers come back
+packed, and the documents travel as word numbers.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+import pickle
 import re
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mapweave.llm.blocks import deflate, inflate
+from mapweave.llm.blocks import deflate, deflate_sorted, inflate, inflate_sorted
 from mapweave.llm.session import documents, prepare, shuffle_partitions
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -37,7 +38,10 @@ MASK, BLOCK_BYTES, BROADCAST_PIECES = 62, 32 << 20, 1_000_000
 #: In an edge's id: the character itself, which no piece covers.
 UNKNOWN = 1 << 23
 SPACE = "▁"
-_WORDS = re.compile(r" +[^ \n]*|[^ \n]+|\n")
+#: Partitions of words for one of documents: a word's edges take many times its own space.
+WORD_PARTITIONS = 8
+#: Answers packed together at most.
+PACKED = 200_000
 RESULT = "doc_id long, ids array<int>, text_sha256 string"
 
 
@@ -63,6 +67,16 @@ class Model:
         self.longest = max(map(len, self.pieces))
         if len(self.bytes) < 256 or any("\n" in p or SPACE in p.lstrip(SPACE) for p in self.pieces) or len(everything) >= UNKNOWN:
             raise ValueError("pieces must not cross words, and every byte must have a piece")
+        near: dict[str, set[str]] = {}
+        for p in self.pieces:
+            for a, b in zip(p, p[1:], strict=False):
+                near.setdefault(a, set()).add(b)
+                near.setdefault(b, set()).add(a)
+        marks = [c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "_" and not any(x.isalnum() and x.isascii() for x in near.get(c, ()))]
+        odd = "".join(sorted({x for c in marks for x in near.get(c, ()) if x.isalnum()}))  # beside a mark in some piece
+        s, a = re.escape("".join(marks)), rf"[^\W_{odd}]"
+        #: Cuts between letters or digits and marks, where no piece has such a pair; otherwise only at spaces.
+        self.words = re.compile(rf" *{a}+(?=[ \n{s}]|$)| *[{s}]+(?=[ \n]|{a}|$)| *[^ \n]+| +|\n" if marks else r" *[^ \n]+| +|\n")
         self.raw = {i: p.replace(SPACE, " ").encode() for p, (_, i) in self.pieces.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
 
     def merged(self, word: str) -> list[int]:
@@ -101,30 +115,33 @@ def _own_way(word: str) -> bool:
 
 
 class _Block:
-    """Documents as numbers of distinct words; words that go their own way have numbers from ``len(words)``."""
+    """Documents as numbers of distinct words, the most frequent first; words that go their own way come last."""
 
-    def __init__(self, ids: list, texts: list[str | None], base: int) -> None:
+    def __init__(self, ids: list, texts: list[str | None], base: int, words: re.Pattern) -> None:
         numbers: dict[str, int] = {}
-        add, self.rows = numbers.setdefault, []
+        rows = []
         for text in texts:
-            self.rows.append([add(w, len(numbers)) for w in _WORDS.findall(" " + text.replace(SPACE, " "))] if text else [])
-        self.ids, self.words = ids, [w for w in numbers if not _own_way(w)]
-        self.others = [w for w in numbers if _own_way(w)]
-        order = {w: i for i, w in enumerate(self.words)} | {w: len(self.words) + i for i, w in enumerate(self.others)}
-        self.number = np.fromiter((order[w] for w in numbers), np.uint32, len(numbers))
+            found = words.findall(" " + text.replace(SPACE, " ")) if text else []
+            rows.append(np.array([numbers.setdefault(w, len(numbers)) for w in found], np.uint32))
+        self.lengths = np.array([len(r) for r in rows], np.int64)
+        flat, names = np.concatenate([np.empty(0, np.uint32), *rows]).astype(np.uint32), list(numbers)
+        own = np.fromiter((_own_way(w) for w in names), bool, len(names))
+        order = np.lexsort((np.arange(len(names)), -np.bincount(flat, minlength=len(names)), own))
+        rank = np.empty(len(names), np.uint32)
+        rank[order] = np.arange(len(names))
+        self.ids, self.flat = ids, rank[flat]
+        n = len(names) - int(own.sum())
+        self.words, self.others = [names[i] for i in order[:n]], [names[i] for i in order[n:]]
         digest = xxhash.xxh3_64(str((base, ids)).encode())
-        digest.update("\n".join(numbers).encode("utf-8", "surrogatepass"))
+        digest.update("\n".join(names).encode("utf-8", "surrogatepass"))
         #: Follows from the content, so that two passes that saw different rows can't be mixed up.
         self.key = digest.intdigest() >> 24 << 23 & (1 << 63) - 1
 
     def packed(self, texts: list[str | None]) -> bytes:
-        import pickle
+        return pickle.dumps((self.ids, [hashlib.sha256((t or "").encode()).digest() for t in texts], deflate(self.lengths), deflate(self.flat, 3), len(self.words), self.others))
 
-        flat = np.concatenate([np.empty(0, np.uint32), *(self.number[r] if r else np.empty(0, np.uint32) for r in self.rows)]).astype(np.uint32)
-        return pickle.dumps((self.ids, [hashlib.sha256((t or "").encode()).digest() for t in texts], deflate(np.array([len(r) for r in self.rows], np.int64)), deflate(flat, 3), len(self.words), self.others))
 
-
-def _blocks(batches):
+def _blocks(batches, words: re.Pattern):
     base, ids, texts, size = TaskContext.get().partitionId(), [], [], 0
     for batch in batches:
         for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
@@ -132,10 +149,32 @@ def _blocks(batches):
             texts.append(t.decode("utf-8", "replace") if t else None)
             size += len(t or b"")
             if size >= BLOCK_BYTES:
-                yield _Block(ids, texts, base), texts
+                yield _Block(ids, texts, base, words), texts
                 ids, texts, size = [], [], 0
     if ids:
-        yield _Block(ids, texts, base), texts
+        yield _Block(ids, texts, base, words), texts
+
+
+def _pack_answers(batches):
+    """Rows (block, number, ids, word) of one partition as few packed rows per block."""
+    held, rows = {}, 0
+
+    def flush():
+        for block, some in held.items():
+            some.sort(key=lambda x: x[0])
+            numbers, sizes = np.array([x[0] for x in some], np.uint32), np.array([len(x[1]) for x in some], np.uint32)
+            ids = np.fromiter((i for x in some for i in x[1]), np.uint32)
+            again = {x[0]: x[2] for x in some if x[2] is not None}
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([pickle.dumps((deflate_sorted(numbers), deflate(sizes), deflate(ids), again))], pa.binary())], names=["block", "answers"])
+
+    for batch in batches:
+        for block, number, ids, word in zip(*(batch[c].to_pylist() for c in ("block", "number", "ids", "word")), strict=True):
+            held.setdefault(block, []).append((number, ids, word))
+        rows += batch.num_rows
+        if rows >= PACKED:
+            yield from flush()
+            held, rows = {}, 0
+    yield from flush()
 
 
 def lattice(words: DataFrame, model: Model) -> DataFrame:
@@ -185,59 +224,70 @@ def encoded(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """
     spark, model = docs.sparkSession, model or Model()
     prepare(spark)
-    docs, n = documents(docs), shuffle_partitions(spark)
+    docs, n = documents(docs), WORD_PARTITIONS * shuffle_partitions(spark)
+
+    words = model.words
 
     def ask(batches):
-        for block, _ in _blocks(batches):
-            for at in range(0, len(block.words), 50_000):
-                some = block.words[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array(np.arange(at, at + len(some)) + block.key, pa.int64())], names=["word", "key"])
+        for block, _ in _blocks(batches, words):
+            order = sorted(range(len(block.words)), key=block.words.__getitem__)  # neighbours alike, for compression
+            for at in range(0, len(order), 50_000):
+                some = order[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([block.words[i] for i in some], pa.string()), pa.array(np.array(some, np.int64) + block.key, pa.int64())], names=["word", "key"])
 
     def pack(batches):
-        for block, texts in _blocks(batches):
+        for block, texts in _blocks(batches, words):
             yield pa.RecordBatch.from_arrays([pa.array([block.key], pa.int64()), pa.array([block.packed(texts)], pa.binary())], names=["block", "docs"])
 
     asked = docs.mapInArrow(ask, "word string, key long").where(F.col("word").isNotNull() & F.col("key").isNotNull()).repartition(n, "word")
     # Both uses read the same columns of the same exchange, which therefore runs once.
     known = lattice(asked.groupBy("word").agg(F.min("key").alias("key")).where(F.col("key").isNotNull()).select("word"), model)
     answers = asked.join(known, "word").select(F.col("key").bitwiseAND(~((1 << 23) - 1)).alias("block"), F.col("key").bitwiseAND((1 << 23) - 1).cast("int").alias("number"), "ids", F.when(F.col("again"), F.col("word")).alias("word"))
+    answers = answers.mapInArrow(_pack_answers, "block long, answers binary")
     blocks = docs.mapInArrow(pack, "block long, docs binary")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        import pickle
-
         if left.num_rows != 1:
             raise RuntimeError("two passes over the documents saw different rows")
         ids, digests, lengths, flat, n_words, others = pickle.loads(left["docs"][0].as_py())
-        if right.num_rows != n_words:
+        answered = [pickle.loads(x) for x in right["answers"].to_pylist()]
+        number = np.concatenate([np.empty(0, np.uint32), *(inflate_sorted(x[0], np.uint32) for x in answered)]).astype(np.int64)
+        sizes = np.concatenate([np.empty(0, np.uint32), *(inflate(x[1], np.uint32) for x in answered)]).astype(np.int64)
+        values = np.concatenate([np.empty(0, np.uint32), *(inflate(x[2], np.uint32) for x in answered)]).astype(np.int32)
+        if len(number) != n_words:
             raise RuntimeError("two passes over the documents saw different rows")
-        lists = right["ids"].combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        starts, values = np.asarray(lists.offsets).astype(np.int64), np.asarray(lists.values).astype(np.int32)
-        number, redo = right["number"].to_numpy(), {}
-        odd = np.searchsorted(starts, np.flatnonzero(values >= UNKNOWN), "right") - 1
-        for row in np.unique(odd).tolist():
+        starts, redo = np.concatenate([[0], np.cumsum(sizes)]), {}
+        for row in np.unique(np.searchsorted(starts, np.flatnonzero(values >= UNKNOWN), "right") - 1).tolist():
             redo[int(number[row])] = [i for v in values[starts[row] : starts[row + 1]].tolist() for i in ([v] if v < UNKNOWN else [model.bytes[b] for b in chr(v - UNKNOWN).encode()])]
-        for row in np.flatnonzero(right["word"].is_valid().to_numpy()).tolist():
-            redo[int(number[row])] = model.merged(right["word"][row].as_py())
+        for x in answered:
+            redo |= {k: model.merged(w) for k, w in x[3].items()}
         redo |= {n_words + i: model.merged(w) if w != "\n" else [model.bytes[10]] for i, w in enumerate(others)}
         begin, size = np.zeros(n_words + len(others), np.int64), np.zeros(n_words + len(others), np.int64)
-        begin[number], size[number] = starts[:-1], np.diff(starts)
+        begin[number], size[number] = starts[:-1], sizes
         more = np.array([i for x in redo.values() for i in x], np.int32)
         where = np.cumsum([0, *(len(x) for x in redo.values())])
         for k, word in enumerate(redo):
             begin[word], size[word] = len(values) + where[k], len(redo[word])
         values = np.concatenate([values, more])
-        sequence, counts = inflate(flat, np.uint32).astype(np.int64), inflate(lengths, np.int64)
-        sizes = size[sequence]
-        at = np.cumsum(sizes) - sizes
-        pieces = values[np.repeat(begin[sequence] - at, sizes) + np.arange(int(sizes.sum()))]
-        bounds = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(pieces, pa.int32())), "text_sha256": pa.array([d.hex() for d in digests], pa.string())})
+        sequence, counts = inflate(flat, np.uint32), inflate(lengths, np.int64)
+        return pa.concat_tables(_assembled(ids, digests, counts, sequence, begin, size, values)).combine_chunks()
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, RESULT)
 
 
+def _assembled(ids, digests, counts, sequence, begin, size, values):
+    """The documents of a block with the ids of their pieces, a thousand at a time."""
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    for a in range(0, len(ids), 1000):
+        b = min(a + 1000, len(ids))
+        some = sequence[ends[a] : ends[b]].astype(np.int64)
+        sizes = size[some]
+        after = np.cumsum(sizes)
+        pieces = values[np.repeat(begin[some] - (after - sizes), sizes) + np.arange(int(sizes.sum()))]
+        bounds = np.concatenate([[0], after])[ends[a : b + 1] - ends[a]]
+        yield pa.table({"doc_id": pa.array(ids[a:b], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(pieces, pa.int32())), "text_sha256": pa.array([d.hex() for d in digests[a:b]], pa.string())})
+
+
 def decoded_text(ids: list[int], raw: dict[int, bytes]) -> str:
     """The text of pieces, without the space that encoding puts in front."""
     text = b"".join(map(raw.__getitem__, ids)).decode("utf-8", "replace")
