@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mapweave.llm import decontaminate, jaccard, lattice, lm, pii, quality, rulefit, secrets, substrings, urls
+from mapweave.llm import decontaminate, jaccard, lattice, lm, oracle, pii, quality, rulefit, secrets, substrings, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,4 +58,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_decontaminate": oracle.DECONTAMINATE,
+        "op3_substring_dedup": oracle.SUBSTRINGS,
+        "op7_url_filter": oracle.URLS,
+        "op8_jaccard_join": oracle.JACCARD,
+        "op10_quality_rules": oracle.QUALITY,
+    }
