@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Bases of record that are fit for trends.
 SUITABLE = ("OBSERVATION", "HUMAN_OBSERVATION", "MACHINE_OBSERVATION", "MATERIAL_CITATION", "MATERIAL_SAMPLE", "PRESERVED_SPECIMEN", "OCCURRENCE", "LITERATURE", "UNKNOWN")
@@ -43,7 +44,7 @@ def significance(slope: float, error: float, n: int) -> float:
     return _beta(free / 2, 0.5, free / (free + t * t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def significance_of(slope: pd.Series, error: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([significance(s if s is not None else math.nan, e if e is not None else math.nan, int(k)) for s, e, k in zip(slope, error, n, strict=True)])
 

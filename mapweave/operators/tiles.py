@@ -9,12 +9,14 @@ from mapweave.functions.projection import global_xy, plottable
 from mapweave.functions.tiling import buffered_addresses, local_xy, tile_contains
 from mapweave.operators.pixels import unpacked
 
+COLUMNS = ("mapKey", "z", "tileX", "tileY", "pixelX", "pixelY", "bor", "year", "cnt")
+
 
 def tiles(levels: DataFrame, epsg: str, size: int = 512, buffer: int = 64) -> DataFrame:
     """(mapKey, z, tileX, tileY, pixelX, pixelY, bor, year, cnt), buffers included and clipped."""
     at = buffered_addresses(epsg, F.col("z"), F.col("x"), F.col("y"), size, buffer)
     rows = levels.select("mapKey", "z", "borYear", "occCount", F.inline(at))
-    return unpacked(rows).select("mapKey", "z", "tileX", "tileY", "pixelX", "pixelY", "bor", "year", "cnt")
+    return unpacked(rows).select(*COLUMNS)
 
 
 def one_tile(prepared: DataFrame, key: str, z: int, x: int, y: int) -> DataFrame:

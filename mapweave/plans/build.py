@@ -44,9 +44,9 @@ def density_tile(prepared: DataFrame, listed: DataFrame | None, key: str, epsg:
     """One tile of one map: prepared rows or else those of the point list, filtered, masked, and binned or flattened."""
 
     def rows_of(k: str) -> DataFrame:
-        rows = tiles.one_tile(prepared, k, z, x, y)
+        rows = tiles.one_tile(prepared, k, z, x, y).select(*tiles.COLUMNS)
         if listed is not None:
-            rows = tiles.tiles_or_points(rows, tiles.point_tile(listed, k, epsg, z, x, y, size, buffer).select(*rows.columns))
+            rows = tiles.tiles_or_points(rows, tiles.point_tile(listed, k, epsg, z, x, y, size, buffer).select(*tiles.COLUMNS))
         return tiles.filtered(rows, years, bases)
 
     rows = rows_of(key)
