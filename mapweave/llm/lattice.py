@@ -34,7 +34,7 @@ from mapweave.llm.session import documents, prepare, shuffle_partitions
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a word that fit a mask; bytes of text a block has; pieces that are broadcast at most.
-MASK, BLOCK_BYTES, BROADCAST_PIECES = 62, 32 << 20, 1_000_000
+MASK, BLOCK_BYTES, BROADCAST_PIECES = 62, 16 << 20, 1_000_000
 #: In an edge's id: the character itself, which no piece covers.
 UNKNOWN = 1 << 23
 SPACE = "▁"
@@ -77,7 +77,8 @@ class Model:
         s, a = re.escape("".join(marks)), rf"[^\W_{odd}]"
         #: Cuts between letters or digits and marks, where no piece has such a pair; otherwise only at spaces.
         self.words = re.compile(rf" *{a}+(?=[ \n{s}]|$)| *[{s}]+(?=[ \n]|{a}|$)| *[^ \n]+| +|\n" if marks else r" *[^ \n]+| +|\n")
-        self.raw = {i: p.replace(SPACE, " ").encode() for p, (_, i) in self.pieces.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
+        raw = {i: p.replace(SPACE, " ").encode() for p, (_, i) in self.pieces.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
+        self.raw = [raw.get(i, b"") for i in everything]
 
     def merged(self, word: str) -> list[int]:
         """Ids of a word by explicit merging, the best pair first and of equals the leftmost."""
@@ -114,67 +115,99 @@ def _own_way(word: str) -> bool:
     return word == "\n" or len(word) > MASK or word.startswith("  ")
 
 
-class _Block:
-    """Documents as numbers of distinct words, the most frequent first; words that go their own way come last."""
+def _spaced(text: str) -> bool:
+    return "  " in text or text[0] in (" ", SPACE) or SPACE in text
 
-    def __init__(self, ids: list, texts: list[str | None], base: int, words: re.Pattern) -> None:
-        numbers: dict[str, int] = {}
-        rows = []
-        for text in texts:
-            found = words.findall(" " + text.replace(SPACE, " ")) if text else []
-            rows.append(np.array([numbers.setdefault(w, len(numbers)) for w in found], np.uint32))
-        self.lengths = np.array([len(r) for r in rows], np.int64)
-        flat, names = np.concatenate([np.empty(0, np.uint32), *rows]).astype(np.uint32), list(numbers)
-        own = np.fromiter((_own_way(w) for w in names), bool, len(names))
-        order = np.lexsort((np.arange(len(names)), -np.bincount(flat, minlength=len(names)), own))
-        rank = np.empty(len(names), np.uint32)
-        rank[order] = np.arange(len(names))
-        self.ids, self.flat = ids, rank[flat]
-        n = len(names) - int(own.sum())
-        self.words, self.others = [names[i] for i in order[:n]], [names[i] for i in order[n:]]
-        digest = xxhash.xxh3_64(str((base, ids)).encode())
-        digest.update("\n".join(names).encode("utf-8", "surrogatepass"))
-        #: Follows from the content, so that two passes that saw different rows can't be mixed up.
-        self.key = digest.intdigest() >> 24 << 23 & (1 << 63) - 1
-
-    def packed(self, texts: list[str | None]) -> bytes:
-        return pickle.dumps((self.ids, [hashlib.sha256((t or "").encode()).digest() for t in texts], deflate(self.lengths), deflate(self.flat, 3), len(self.words), self.others))
 
-
-def _blocks(batches, words: re.Pattern):
-    base, ids, texts, size = TaskContext.get().partitionId(), [], [], 0
+def _blocks(batches):
+    """(ids, texts) of at most so many bytes, or of one longer text; with the number of the partition and block."""
+    base, made, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
     for batch in batches:
         for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
             ids.append(i)
             texts.append(t.decode("utf-8", "replace") if t else None)
             size += len(t or b"")
             if size >= BLOCK_BYTES:
-                yield _Block(ids, texts, base, words), texts
-                ids, texts, size = [], [], 0
+                yield (base, made), ids, texts
+                made, ids, texts, size = made + 1, [], [], 0
     if ids:
-        yield _Block(ids, texts, base, words), texts
+        yield (base, made), ids, texts
+
+
+class _Words:
+    """The distinct words of a block, sorted; those that go their own way apart."""
+
+    def __init__(self, place: tuple[int, int], ids: list, texts: list[str | None], find) -> None:
+        between, found = set(), set()
+        for text in texts:
+            if text:
+                if _spaced(text):
+                    found.update(find(" " + text.replace(SPACE, " ")))
+                else:
+                    between.update(text.split(" "))
+        for piece in between:
+            found.update(find(" " + piece))
+        self.words = sorted(w for w in found if not _own_way(w))
+        self.others = sorted(w for w in found if _own_way(w))
+        digest = xxhash.xxh3_64(str((place, ids)).encode())
+        digest.update("\n".join(self.words).encode("utf-8", "surrogatepass"))
+        #: Follows from the content, so that two passes that saw different rows can't be mixed up.
+        self.key = digest.intdigest() >> 24 << 23 & (1 << 63) - 1
+
+
+def _packed(words: _Words, ids: list, texts: list[str | None], find) -> bytes:
+    """The documents as numbers of words, the most frequent ones small, and what each number stands for."""
+    number = {w: i for i, w in enumerate([*words.words, *words.others])}
+    known: dict[str, tuple[int, ...]] = {}
+    rows = []
+    for text in texts:
+        row: list[int] = []
+        if text and _spaced(text):
+            row = [number[w] for w in find(" " + text.replace(SPACE, " "))]
+        elif text:
+            for piece in text.split(" "):
+                hit = known.get(piece)
+                if hit is None:
+                    hit = known[piece] = tuple(number[w] for w in find(" " + piece))
+                row += hit
+        rows.append(np.array(row, np.uint32))
+    flat = np.concatenate([np.empty(0, np.uint32), *rows]).astype(np.uint32)
+    order = np.argsort(-np.bincount(flat, minlength=len(number)), kind="stable").astype(np.uint32)
+    rank = np.empty(len(number), np.uint32)
+    rank[order] = np.arange(len(number), dtype=np.uint32)
+    digests = b"".join(hashlib.sha256((t or "").encode()).digest() for t in texts)
+    return pickle.dumps((ids, digests, deflate(np.array([len(r) for r in rows], np.int64)), deflate(rank[flat], 3), deflate(order), len(words.words), words.others))
 
 
 def _pack_answers(batches):
     """Rows (block, number, ids, word) of one partition as few packed rows per block."""
-    held, rows = {}, 0
+    held: list[pa.RecordBatch] = []
 
     def flush():
-        for block, some in held.items():
-            some.sort(key=lambda x: x[0])
-            numbers, sizes = np.array([x[0] for x in some], np.uint32), np.array([len(x[1]) for x in some], np.uint32)
-            ids = np.fromiter((i for x in some for i in x[1]), np.uint32)
-            again = {x[0]: x[2] for x in some if x[2] is not None}
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([pickle.dumps((deflate_sorted(numbers), deflate(sizes), deflate(ids), again))], pa.binary())], names=["block", "answers"])
+        table = pa.Table.from_batches(held).combine_chunks()
+        block, number = table["block"].to_numpy(), table["number"].to_numpy()
+        lists = table["ids"].chunk(0) if table["ids"].num_chunks else table["ids"].combine_chunks()
+        starts, values = np.asarray(lists.offsets).astype(np.int64), np.asarray(lists.values)
+        again = {i: table["word"][i].as_py() for i in np.flatnonzero(table["word"].is_valid().to_numpy()).tolist()}
+        order = np.lexsort((number, block))
+        edges = np.flatnonzero(np.diff(block[order], prepend=block[order[0]] - 1))
+        for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
+            rows = order[a:b]
+            sizes = starts[rows + 1] - starts[rows]
+            after = np.cumsum(sizes)
+            ids = values[np.repeat(starts[rows] - (after - sizes), sizes) + np.arange(int(sizes.sum()))]
+            mine = {int(number[i]): w for i, w in again.items() if block[i] == block[rows[0]]}
+            packed = pickle.dumps((deflate_sorted(number[rows].astype(np.uint32)), deflate(sizes.astype(np.uint32)), deflate(ids.astype(np.uint32)), mine))
+            yield pa.RecordBatch.from_arrays([pa.array([int(block[rows[0]])], pa.int64()), pa.array([packed], pa.binary())], names=["block", "answers"])
 
     for batch in batches:
-        for block, number, ids, word in zip(*(batch[c].to_pylist() for c in ("block", "number", "ids", "word")), strict=True):
-            held.setdefault(block, []).append((number, ids, word))
-        rows += batch.num_rows
-        if rows >= PACKED:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= PACKED:
             yield from flush()
-            held, rows = {}, 0
-    yield from flush()
+            held = []
+    if held:
+        yield from flush()
 
 
 def lattice(words: DataFrame, model: Model) -> DataFrame:
@@ -226,18 +259,19 @@ def encoded(docs: DataFrame, model: Model | None = None) -> DataFrame:
     prepare(spark)
     docs, n = documents(docs), WORD_PARTITIONS * shuffle_partitions(spark)
 
-    words = model.words
+    find = model.words.findall
 
     def ask(batches):
-        for block, _ in _blocks(batches, words):
-            order = sorted(range(len(block.words)), key=block.words.__getitem__)  # neighbours alike, for compression
-            for at in range(0, len(order), 50_000):
-                some = order[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([block.words[i] for i in some], pa.string()), pa.array(np.array(some, np.int64) + block.key, pa.int64())], names=["word", "key"])
+        for place, ids, texts in _blocks(batches):
+            block = _Words(place, ids, texts, find)
+            for at in range(0, len(block.words), 50_000):
+                some = block.words[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array(np.arange(at, at + len(some)) + block.key, pa.int64())], names=["word", "key"])
 
     def pack(batches):
-        for block, texts in _blocks(batches, words):
-            yield pa.RecordBatch.from_arrays([pa.array([block.key], pa.int64()), pa.array([block.packed(texts)], pa.binary())], names=["block", "docs"])
+        for place, ids, texts in _blocks(batches):
+            block = _Words(place, ids, texts, find)
+            yield pa.RecordBatch.from_arrays([pa.array([block.key], pa.int64()), pa.array([_packed(block, ids, texts, find)], pa.binary())], names=["block", "docs"])
 
     asked = docs.mapInArrow(ask, "word string, key long").where(F.col("word").isNotNull() & F.col("key").isNotNull()).repartition(n, "word")
     # Both uses read the same columns of the same exchange, which therefore runs once.
@@ -249,7 +283,7 @@ def encoded(docs: DataFrame, model: Model | None = None) -> DataFrame:
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows != 1:
             raise RuntimeError("two passes over the documents saw different rows")
-        ids, digests, lengths, flat, n_words, others = pickle.loads(left["docs"][0].as_py())
+        ids, digests, lengths, flat, order, n_words, others = pickle.loads(left["docs"][0].as_py())
         answered = [pickle.loads(x) for x in right["answers"].to_pylist()]
         number = np.concatenate([np.empty(0, np.uint32), *(inflate_sorted(x[0], np.uint32) for x in answered)]).astype(np.int64)
         sizes = np.concatenate([np.empty(0, np.uint32), *(inflate(x[1], np.uint32) for x in answered)]).astype(np.int64)
@@ -269,7 +303,7 @@ def encoded(docs: DataFrame, model: Model | None = None) -> DataFrame:
         for k, word in enumerate(redo):
             begin[word], size[word] = len(values) + where[k], len(redo[word])
         values = np.concatenate([values, more])
-        sequence, counts = inflate(flat, np.uint32), inflate(lengths, np.int64)
+        sequence, counts = inflate(order, np.uint32)[inflate(flat, np.uint32)], inflate(lengths, np.int64)
         return pa.concat_tables(_assembled(ids, digests, counts, sequence, begin, size, values)).combine_chunks()
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, RESULT)
@@ -285,12 +319,19 @@ def _assembled(ids, digests, counts, sequence, begin, size, values):
         after = np.cumsum(sizes)
         pieces = values[np.repeat(begin[some] - (after - sizes), sizes) + np.arange(int(sizes.sum()))]
         bounds = np.concatenate([[0], after])[ends[a : b + 1] - ends[a]]
-        yield pa.table({"doc_id": pa.array(ids[a:b], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(pieces, pa.int32())), "text_sha256": pa.array([d.hex() for d in digests[a:b]], pa.string())})
+        yield pa.table({"doc_id": pa.array(ids[a:b], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(pieces, pa.int32())), "text_sha256": pa.array([digests[32 * i : 32 * i + 32].hex() for i in range(a, b)], pa.string())})
+
+
+def _lists(column: pa.Array) -> list[list[int]]:
+    """Rows of an array of ids; nulls as empty lists."""
+    starts, values = np.asarray(column.offsets), np.asarray(column.values)
+    valid = column.is_valid().to_numpy(zero_copy_only=False)
+    return [values[a:b].tolist() if v else [] for a, b, v in zip(starts[:-1].tolist(), starts[1:].tolist(), valid.tolist(), strict=True)]
 
 
-def decoded_text(ids: list[int], raw: dict[int, bytes]) -> str:
+def decoded_text(ids: list[int], raw: list[bytes]) -> str:
     """The text of pieces, without the space that encoding puts in front."""
-    text = b"".join(map(raw.__getitem__, ids)).decode("utf-8", "replace")
+    text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace")
     return text[1:] if text.startswith(" ") else text
 
 
@@ -300,21 +341,21 @@ def decoded(encodings: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([decoded_text(x or [], raw) for x in batch["ids"].to_pylist()], pa.string())], names=["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([decoded_text(x, raw) for x in _lists(batch["ids"])], pa.string())], names=["doc_id", "text"])
 
     return encodings.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """Per document: doc_id, n_pieces, SHA-256 of the ids joined by commas, and whether decoding gives the text again."""
+    """Per document: doc_id, n_pieces, SHA-256 of the ids as 32-bit little-endian numbers, and whether decoding gives the text again."""
     model = model or Model()
     raw = model.raw
 
     def run(batches):
         for batch in batches:
-            rows = batch["ids"].to_pylist()
+            rows = _lists(batch["ids"])
             same = [hashlib.sha256(decoded_text(x, raw).encode()).hexdigest() == d for x, d in zip(rows, batch["text_sha256"].to_pylist(), strict=True)]
-            hashes = [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in rows]
+            hashes = [hashlib.sha256(np.array(x, "<i4").tobytes()).hexdigest() for x in rows]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(x) for x in rows], pa.int64()), pa.array(hashes, pa.string()), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids_sha256", "round_trip"])
 
     return encoded(docs, model).mapInArrow(run, "doc_id long, n_pieces long, ids_sha256 string, round_trip boolean")
