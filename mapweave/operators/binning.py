@@ -52,3 +52,12 @@ def square_bins(rows: DataFrame, square: int = SQUARE, size: int = 512) -> DataF
         raise ValueError("a square's size is a power of two up to 4096")
     cell = lambda c: F.floor(F.col(c) * (EXTENT // size) / square).cast("int")
     return without_buffer(rows, size).groupBy("z", "tileX", "tileY", cell("pixelX").alias("cellX"), cell("pixelY").alias("cellY")).agg(F.sum("cnt").alias("total"))
+
+
+def cell_key(cell_x: Column, cell_y: Column) -> Column:
+    """A square cell as one number; ``cell_of`` takes it apart."""
+    return F.call_function("shiftleft", cell_x.cast("long"), F.lit(32)).bitwiseOR(cell_y.cast("long"))
+
+
+def cell_of(key: Column) -> tuple[Column, Column]:
+    return F.call_function("shiftright", key, F.lit(32)).cast("int"), key.bitwiseAND(0xFFFFFFFF).cast("int")

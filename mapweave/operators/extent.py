@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mapweave.functions.projection import MERCATOR_LIMIT
 from mapweave.operators.tiles import without_buffer
 
 #: Longitudes are compared in whole parts of a degree.
@@ -43,3 +44,14 @@ def capabilities(rows: DataFrame, size: int = 512) -> DataFrame:
         F.coalesce(F.ceil("high"), F.lit(90)).cast("int").alias("maxLat"), F.coalesce(F.ceil(right / PARTS), F.lit(180)).cast("int").alias("maxLng"),
         "minYear", "maxYear", "total",
     )
+
+
+def as_json(extents: DataFrame) -> DataFrame:
+    """The row of ``capabilities`` as one JSON document; values that aren't known are left out."""
+    return extents.select(F.to_json(F.struct(*extents.columns)).alias("json"))
+
+
+def first_interface(extents: DataFrame) -> DataFrame:
+    """Count and bounds as the first interface named them, latitudes held to Mercator's square."""
+    held = lambda c: F.greatest(F.least(F.col(c).cast("double"), F.lit(MERCATOR_LIMIT)), F.lit(-MERCATOR_LIMIT))
+    return extents.select(F.col("total").alias("count"), held("minLat").alias("minimumLatitude"), F.col("minLng").cast("double").alias("minimumLongitude"), held("maxLat").alias("maximumLatitude"), F.col("maxLng").cast("double").alias("maximumLongitude"))

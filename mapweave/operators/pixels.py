@@ -76,10 +76,14 @@ def pyramid(at_zoom: DataFrame, zoom: int = MAX_ZOOM, lowest: int = 0) -> DataFr
     return fine.unionByName(coarse)
 
 
-def points(rows: DataFrame) -> DataFrame:
-    """(mapKey, lat, lng, borYear, occCount): the lists of small keys, with real counts."""
+def points(rows: DataFrame, legacy_counts: bool = False) -> DataFrame:
+    """(mapKey, lat, lng, borYear, occCount): the lists of small keys, with real counts.
+
+    With ``legacy_counts`` every place, basis and year counts once, as older lists had it.
+    """
     packed = rows.select("mapKey", F.col("decimalLatitude").alias("lat"), F.col("decimalLongitude").alias("lng"), K.encode_bor_year(F.col("basisOfRecord"), F.col("year")).alias("borYear"))
-    return packed.where(F.col("borYear").isNotNull()).groupBy("mapKey", "lat", "lng", "borYear").agg(F.count("*").alias("occCount"))
+    count = F.lit(1).cast("long") if legacy_counts else F.count("*")
+    return packed.where(F.col("borYear").isNotNull()).groupBy("mapKey", "lat", "lng", "borYear").agg(count.alias("occCount"))
 
 
 def unpacked(counted: DataFrame) -> DataFrame:

@@ -80,3 +80,15 @@ def heat_children(levels: DataFrame, size: int = 512) -> DataFrame:
     rows = levels.select("mapKey", (F.col("z") - 1).alias("z"), child("x").alias("childX"), child("y").alias("childY"), "occCount").where(F.col("z") >= 0)
     up = lambda c: F.call_function("shiftright", F.col(c), F.lit(1))
     return rows.groupBy("mapKey", "z", up("childX").alias("tileX"), up("childY").alias("tileY"), "childX", "childY").agg(F.sum("occCount").alias("total"))
+
+
+def years_by_basis(rows: DataFrame) -> DataFrame:
+    """One row per pixel and basis of record with a map of counts by year, as a stored tile has them."""
+    yearly = rows.groupBy(*COLUMNS[:-2], "year").agg(F.sum("cnt").alias("cnt"))
+    return yearly.groupBy(*COLUMNS[:-2]).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("year", "cnt")))).alias("years"))
+
+
+def readdressed(rows: DataFrame, tile_x: int, tile_y: int, size: int = 512, buffer: int = 64) -> DataFrame:
+    """Rows of neighbouring tiles as seen from one tile, clipped to its buffer."""
+    moved = rows.withColumns({"pixelX": F.col("pixelX") + (F.col("tileX") - tile_x) * size, "pixelY": F.col("pixelY") + (F.col("tileY") - tile_y) * size, "tileX": F.lit(tile_x), "tileY": F.lit(tile_y)})
+    return moved.where(F.col("pixelX").between(-buffer, size + buffer) & F.col("pixelY").between(-buffer, size + buffer))

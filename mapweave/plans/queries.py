@@ -172,6 +172,10 @@ _SPREAD = """vals as (select distinct cast(floor((-180 + 180 * tileX + 180 * pix
 register("capabilities", lambda s, d: extent.capabilities(_tiles(s, d, "EPSG:4326", 0)), O.with_(*_tiles_sql("EPSG:4326", 0), _SPREAD) + """select cast(floor(min(90 - 180 * pixelY / 512.0::double)) as int) as minLat, cast(floor(any_value(lft) / 512.0::double) as int) as minLng, cast(ceil(max(90 - 180 * pixelY / 512.0::double)) as int) as maxLat,
   cast(ceil((any_value(rgt) + case when any_value(lft) > any_value(rgt) then 184320 else 0 end) / 512.0::double) as int) as maxLng, min(case when year > 0 then year end) as minYear, max(case when year > 0 then year end) as maxYear, sum(cnt) as total
   from tiles, spread where pixelX between 0 and 511 and pixelY between 0 and 511""")
+register("first_interface_extent", lambda s, d: extent.first_interface(extent.capabilities(_tiles(s, d, "EPSG:4326", 0))), O.with_(*_tiles_sql("EPSG:4326", 0), _SPREAD) + """select sum(cnt) as count, floor(min(90 - 180 * pixelY / 512.0::double)) as minimumLatitude, floor(any_value(lft) / 512.0::double) as minimumLongitude, ceil(max(90 - 180 * pixelY / 512.0::double)) as maximumLatitude,
+  ceil((any_value(rgt) + case when any_value(lft) > any_value(rgt) then 184320 else 0 end) / 512.0::double) as maximumLongitude from tiles, spread where pixelX between 0 and 511 and pixelY between 0 and 511""")
+register("square_cell_keys", lambda s, d: binning.square_bins(_tiles(s, d, lowest=2)).groupBy(binning.cell_key(F.col("cellX"), F.col("cellY")).alias("cell")).agg(F.sum("total").alias("total")), O.with_(*_tiles_sql(lowest=2)) + "select (pixelX * 8 // 16)::bigint << 32 | (pixelY * 8 // 16) as cell, sum(cnt) as total from tiles where pixelX between 0 and 511 and pixelY between 0 and 511 group by all")
+register("years_by_basis", lambda s, d: tiles.years_by_basis(_tiles(s, d, lowest=2)).select("bor", F.explode("years").alias("year", "cnt")).groupBy("bor", "year").agg(F.sum("cnt").alias("cnt")), O.with_(*_tiles_sql(lowest=2)) + "select bor, year, sum(cnt) as cnt from tiles group by all")
 register("longitude_spread", lambda s, d: extent.centred_spread(mapped(s, d).select(F.floor(F.col("decimalLongitude") * 512 + 0.5).alias("v")), 360 * 512), O.with_() + """, vals as (select distinct cast(floor(decimalLongitude * 512 + 0.5::double) as bigint) as v from occ),
   gaps as (select v, row_number() over (order by v) as pos, coalesce(lead(v) over (order by v), min(v) over ()) as nxt, coalesce(lead(v) over (order by v), min(v) over () + 184320) - v as gap from vals)
   select nxt as "left", v as "right" from gaps order by gap desc, pos desc limit 1""".replace(", vals", ", vals", 1))

@@ -234,3 +234,21 @@ def test_stream(spark, sf, tmp_path):
     query = windowed(stream, "ts", ["event_type"], "365 days").writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("counts").agg(F.sum("total")).first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_views_of_tiles_and_extents(spark, levels):
+    rows = tiles.tiles(levels.where("z = 1"), "EPSG:4326")
+    near = tiles.readdressed(tiles.without_buffer(rows), 1, 0)
+    own = tiles.one_tile(rows, K.ALL_KEY, 1, 1, 0)
+    assert near.select(*tiles.COLUMNS).exceptAll(own).where("pixelX <= 512 and pixelY <= 512 and pixelX >= -64 and pixelY >= -64").count() == 0
+    x, y = binning.cell_of(binning.cell_key(F.lit(7), F.lit(9)))
+    assert tuple(spark.range(1).select(x, y).first()) == (7, 9)
+    text = extent.as_json(extent.capabilities(rows.limit(0))).first().json
+    assert text == '{"minLat":-90,"minLng":-180,"maxLat":90,"maxLng":180,"total":0}'
+    assert extent.first_interface(extent.capabilities(rows.limit(0))).first().maximumLatitude < 85.06
+
+
+def test_legacy_point_counts(spark, sf):
+    rows = pixels.keyed(mapped(spark, sf), F.array(F.lit(K.ALL_KEY)))
+    old = pixels.points(rows, legacy_counts=True)
+    assert total(old, "occCount") == pixels.points(rows).count() < rows.count()
