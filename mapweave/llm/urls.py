@@ -28,8 +28,9 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: Sites listed in the registered query.
-LISTED = tuple(f"http://{name}.example.{top}/" for name in ("adult-x", "casino-win", "cheap-pills", "spam-farm") for top in ("com", "net", "org"))
+#: Sites listed in the registered query: the six advertising and spam names among the hosts of ``pages``,
+#: all that have a hyphen, under each top-level domain that occurs there.
+LISTED = tuple(f"http://{name}.example.{top}/" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
 
 
 def with_parts(pages: DataFrame, url: str = "url", host: str = "host", path: str = "path") -> DataFrame:

@@ -44,6 +44,20 @@ def test_listed_urls(spark):
     assert [v for *_, v in judged(spark, rows, [])] == ["allow"] * 6 and judged(spark, [], listed) == []
 
 
+def test_every_site_of_the_kind_is_listed(spark, sf):
+    """All hosts with a hyphen are sites of this kind; one that no rule fits is blocked by the list."""
+    for part in (sf, sf.replace("0.001", "0.01"), sf.replace("0.001", "0.1")):
+        rows = urls.judged(spark.read.parquet(f"{part}/pages.parquet"), urls.listed_sites(spark)).where(F.col("rule").isNull()).collect()
+        hosts = {r.host for r in rows if "-" in r.host}
+        assert hosts and all((r.verdict == "block") == (r.host in hosts) for r in rows)
+
+
+def test_list_of_many_blocks(spark):
+    listed = [f"http://s{i}.example.net/" for i in range(1000)]
+    rows = [f"http://{w}s{i}.example.net/x" for w in ("", "m.") for i in range(0, 2000, 50)]
+    assert [v for *_, v in judged(spark, rows, listed)] == ["block" if i < 1000 else "allow" for _ in range(2) for i in range(0, 2000, 50)]
+
+
 def test_filter_passes_every_listed_key_and_few_others(spark):
     listed = spark.range(2000).select(F.concat(F.lit("k"), F.col("id")).alias("key"))
     blocks = 2000 * urls.BITS_PER_KEY // 512
