@@ -20,15 +20,20 @@ from mapweave.llm.session import documents, prepare
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern and the least length of its match, or of what follows ``head`` in it."""
+    """A pattern and the least length of its match, or of what follows ``head`` in it; ``tail`` may follow the match."""
 
     kind: str
     pattern: str
     least: int
     head: str | None = None
     base: bool = False
+    tail: str = ""
 
 
+_PEM = r"[A-Z0-9 ]*PRIVATE KEY-----"
+#: A key's headers and body up to the END line; five dashes end it, so a second key is another match. Where
+#: that line is missing, as in a cut text, the lines of base64 that follow are taken.
+_PEM_TAIL = r"""(?:-{0,4}[A-Za-z0-9+/=:,.;_@#>*()"'\\\x20\t\r\n])*-----END """ + _PEM + r"|(?:(?:[\x20\t\r\n]|\\[rn])*[A-Za-z0-9+/=]{40,})+"
 _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 #: The base rules, then rules for tokens with a public prefix. Where a rule is one run of a
 #: class, its least length can stand in the pattern: a run that is too short has no part that is long enough.
@@ -36,7 +41,7 @@ RULES = (
     Rule("assign", _ASSIGN + r"[A-Za-z0-9+/_.=-]+", 12, _ASSIGN, True),
     Rule("access", r"AKIA[A-Z0-9]+", 18, None, True),
     Rule("hex", r"[0-9a-f]{16,}", 16, None, True),
-    Rule("private_key", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----", 0),
+    Rule("private_key", "-----BEGIN " + _PEM, 0, tail=_PEM_TAIL),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 20),
@@ -53,7 +58,7 @@ class Scanner:
         self.rules = rules
         nodes = [parsed(r.pattern) for r in rules]
         self.back = compiled([reversed_node(x) for x in nodes], anywhere=True)
-        self.forward = [compiled([x], anywhere=False) for x in nodes]
+        self.forward = [compiled([parsed(f"{r.pattern}(?:{r.tail})?")], anywhere=False) if r.tail else compiled([x], anywhere=False) for r, x in zip(rules, nodes, strict=True)]
         self.heads = [r.head and compiled([parsed(r.head)], anywhere=False) for r in rules]
 
     def ready(self) -> Scanner:
@@ -62,7 +67,7 @@ class Scanner:
         return self
 
     def spans(self, data: bytes) -> list[tuple[int, int, int]]:
-        """(start, rule, end) in bytes, by start and then rule; found by a base rule, or apart from such spans."""
+        """(start, rule, end) in bytes, by start and then rule; found by a base rule, or not within such a span."""
         found, free = [], [0] * len(self.rules)
         for start, bits in reversed(begins(self.root, data)):
             for k in range(len(self.rules)):
@@ -72,7 +77,7 @@ class Scanner:
                     if end - value >= self.rules[k].least:
                         found.append((start, k, end))
         base = [x for x in found if self.rules[x[1]].base]
-        return sorted(base + [x for x in found if not self.rules[x[1]].base and not any(x[0] < e and s < x[2] for s, _, e in base)])
+        return sorted(base + [x for x in found if not self.rules[x[1]].base and not any(s <= x[0] and x[2] <= e for s, _, e in base)])
 
 
 def in_code_points(data: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

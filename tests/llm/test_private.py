@@ -56,6 +56,23 @@ def test_added_rules_and_redaction(spark, scanner):
     assert rows[2].text is None and rows[3].text == "clean" and rows[3].n_chars == 99 and rows[3].more == "z"
 
 
+def test_private_keys_are_masked_to_their_end(spark, scanner):
+    body = "\n".join("MIIE+/" + "aB3d" * 14 for _ in range(3)) + "\nQ0k=\n"
+    key = lambda kind, inner: f"-----BEGIN {kind}PRIVATE KEY-----{inner}-----END {kind}PRIVATE KEY-----"
+    plain, headed = key("", "\n" + body), key("RSA ", "\r\nProc-Type: 4,ENCRYPTED\r\nDEK-Info: AES-128-CBC,0123456789abcdef01\r\n\r\n" + body)
+    texts = [
+        (f"é {plain} and {headed} end", "é [private_key] and [private_key] end"),
+        ('{"key": "' + key("EC ", "\n" + body).replace("\n", "\\n") + '"}', '{"key": "[private_key]"}'),
+        ("cut: " + plain[: plain.index("Q0k=")] + "-- end", "cut: [private_key]\n-- end"),
+        (f"token=abc{plain} x", "[assign] x"),
+        ("see -----BEGIN PRIVATE KEY----- in text, -----BEGIN CERTIFICATE-----", "see [private_key] in text, -----BEGIN CERTIFICATE-----"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    assert [r.text for r in secrets.redacted(df).orderBy("doc_id").collect()] == [t for _, t in texts]
+    found = secrets.found(df).orderBy("doc_id").collect()
+    assert found[1].spans == f"private_key:9:{len(texts[1][0]) - 2}" and found[0].n_hex == 1
+
+
 def test_secret_edges(edge, empty):
     rows = secrets.found(edge).collect()
     assert len(rows) == edge.count() and all(r.spans == "" for r in rows) and secrets.found(empty).count() == 0
