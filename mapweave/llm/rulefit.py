@@ -25,7 +25,7 @@ SAMPLE = 20_000
 FOLDS, CUT = 5, 0.3
 TREES, DEPTH, PART, SPLITS, LEAST_ROWS, PENALTY = 40, 3, 3000, 24, 5, 0.001
 FEATURES = ("words", "word_length", "symbols", "pipes", "repeats", "dup_lines", "exclaims", "capitals", "commas", "lines", "digits")
-_COUNTED = {"pipes": "|", "exclaims": "!", "capitals": "EAIONRST", "commas": ",", "lines": "\n", "digits": "0123456789"}
+_COUNTED = {"pipes": "|", "exclaims": "!", "commas": ",", "lines": "\n", "digits": "0123456789"}
 _P = "rule_feature_"
 
 
@@ -38,6 +38,7 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for c in characters:
             left = F.replace(left, F.lit(c), F.lit(""))
         counts[f"{_P}n_{name}"] = F.length(text) - F.length(left)
+    counts[f"{_P}n_capitals"] = F.length(F.regexp_replace(text, r"\P{Lu}+", ""))
     out = stats(docs, text_col, _P).withColumns(counts)
     n, chars = F.greatest(F.col(f"{_P}n_words"), F.lit(1)), F.greatest(F.col(f"{_P}word_chars"), F.lit(1))
     made = {

@@ -107,6 +107,12 @@ def test_rules_hold_alike_in_both_engines(spark):
     assert [r[0] for r in df.select(model.column()).collect()] == pytest.approx(list(model.score(x)))
 
 
+def test_all_capitals_count(spark):
+    texts = ["BCD Fgh", "EAI", "\u00c9t\u00e9 \u00dcber \u0416", "none 1!", ""]
+    rows = rulefit.features(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.rule_feature_capitals for r in rows] == pytest.approx([4 / 6, 1, 3 / 8, 0, 0])
+
+
 def test_classifier_edges(edge, empty):
     labels = edge.sparkSession.createDataFrame([(1, 1), (4, 0), (None, 1), (6, None)], "doc_id long, quality int")
     rows = rulefit.scored(edge, labels).collect()
