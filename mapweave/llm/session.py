@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -11,24 +12,67 @@ from pyspark.sql import functions as F
 
 #: Rows of text handed to a Python worker at once; with long texts this bounds the worker's memory.
 TEXTS_PER_BATCH = 1000
+#: Copies of a table that ``attached`` deals, so that rows of one key go to as many tasks.
+SALTS = 8
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__.partition(".")[0]])
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python workers receive."""
+    """Bound the Arrow batches that Python workers receive; Spark has this as a setting of the session only."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS_PER_BATCH)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is set and all runs in one process."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder, so that lineage ends and lost executors cost nothing.
+    """Materialise in the shared folder, so that lineage ends and lost executors cost nothing."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-    The folder is the cluster's ``spark.checkpoint.dir``; a temporary one is made only where none is set.
+
+def written(df: DataFrame) -> DataFrame:
+    """Like ``checkpointed``, as a table of its own whose statistics are those of its files.
+
+    A checkpoint keeps the size that was estimated for its plan; over the joins of a loop such estimates multiply.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def attached(rows: DataFrame, table: DataFrame, on: list[str], salt_by: str, how: str = "left") -> DataFrame:
+    """``rows`` joined with a table that has each key once; many rows of one key are dealt to ``SALTS`` tasks."""
+    salt = unused("salt", rows, table)
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(salt_by, F.lit("salt")), F.lit(SALTS)).cast("int"))
+    copies = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, [*on, salt], how).drop(salt)
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name, ``name`` or like it, that none of the tables has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def unused_prefix(prefix: str, df: DataFrame) -> str:
+    """A prefix, ``prefix`` or like it, that no column's name begins with, whatever underscores stand before it."""
+    while any(c.lower().lstrip("_").startswith(prefix.lower()) for c in df.columns):
+        prefix = f"x{prefix}"
+    return prefix
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -2,9 +2,14 @@
 
 import hashlib
 import math
+import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pytest
+
 from mapweave.llm import blocks, decontaminate, jaccard, substrings
+from mapweave.llm import components as components_module
 from mapweave.llm.components import components
 
 
@@ -42,8 +47,14 @@ def test_substring_edges(edge, empty):
 
 
 def brute_matches(rows, items):
-    wanted = [(i, shingle_set(t)) for i, t in items]
-    return Counter((d, i, len(m & s), len(m)) for d, t in rows for s in [shingle_set(t)] for i, m in wanted if m and len(m & s) * 100 >= 80 * len(m))
+    out = Counter()
+    for i, t in items:
+        k = min(5, len((t or "").split()))
+        wanted = shingle_set(t, k) if k else frozenset()
+        for d, text in rows:
+            if wanted and (n := len(wanted & shingle_set(text, k))) * 100 >= 80 * len(wanted):
+                out[d, i, n, len(wanted)] += 1
+    return out
 
 
 def test_decontamination(spark, sf, docs, plain):
@@ -58,10 +69,36 @@ def test_partial_items_are_found(spark):
     item = [f"q{i}" for i in range(40)]
     near, far = " ".join(item[:33]), " ".join(item[:31])
     docs = spark.createDataFrame([(1, "a b c " + near + " d"), (2, "a " + far), (3, " ".join(item[::-1]))], "doc_id long, text string")
-    items = spark.createDataFrame([(7, " ".join(item)), (8, "too short"), (9, None)], "item_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(item)), (8, "not there"), (9, None)], "item_id long, text string")
     assert [tuple(r) for r in decontaminate.matches(docs, items).collect()] == [(1, 7, 29, 36)]
 
 
+def test_items_of_all_sizes_against_brute_force(spark, monkeypatch):
+    """Items of 1 to 300 words, whole or with words lost, in texts of all lengths; several slices."""
+    monkeypatch.setattr(decontaminate, "SLICE_ITEMS", 40)
+    r = random.Random(8)
+    word = lambda: f"w{r.randrange(400)}"
+    items = [(k, " ".join(word() for _ in range(r.choice([1, 2, 3, 4, 5, 6, 9, 20, 60, 300])))) for k in range(90)]
+    items += [(500, items[3][1]), (501, ""), (502, " \n"), (503, None)]
+    rows = []
+    for k in range(150):
+        parts = [" ".join(word() for _ in range(r.choice([0, 1, 4, 30, 200])))]
+        for _, t in r.sample(items[:90], 3):
+            parts.append(" ".join(w for w in t.split() if r.random() > r.choice([0, 0, 0.02, 0.05, 0.1])))
+        rows.append((k, " ".join(parts)))
+    rows += [(900, " ".join(word() for _ in range(50_000)) + " " + items[50][1]), (901, None), (902, "")]
+    got = decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert Counter(map(tuple, got.collect())) == brute_matches([(d, t or "") for d, t in rows], items)
+
+
+@pytest.mark.parametrize("names", [("contaminated", "item_id"), ("Contaminated", "_contaminated"), ("n_shared", "text_")])
+def test_names_pass_through_clean(spark, names):
+    docs = spark.createDataFrame([(1, "x y four words only here z", 5, 6), (2, "nothing to see", 7, 8), (None, None, 9, 9)], ["doc_id", "text", *names])
+    items = spark.createDataFrame([(7, "four words only here")], "item_id long, text string")
+    kept = decontaminate.clean(docs, items)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.orderBy("doc_id").collect()] == [(None, None, 9, 9), (2, "nothing to see", 7, 8)]
+
+
 def test_decontamination_edges(edge, empty):
     from .conftest import SAME
 
@@ -123,19 +160,71 @@ def test_join_of_a_large_group(spark):
     assert Counter(map(tuple, got.collect())) == brute_join(rows)
 
 
+def test_join_of_a_group_in_many_blocks(spark, monkeypatch):
+    """Copies of one text with edits at all rates: blocks that the pivot decides, and blocks that meet in tiles."""
+    monkeypatch.setattr(jaccard, "BLOCK_LEAST", 100)
+    monkeypatch.setattr(jaccard, "TILE", 16)
+    monkeypatch.setattr(jaccard, "NAMES_AT_ONCE", 100)
+    r = random.Random(5)
+    base, rows = [f"t{i}" for i in range(200)], []
+    for k in range(260):
+        rate = r.choice([0, 0.002, 0.004, 0.01, 0.02, 0.05])
+        rows.append((k, " ".join(r.choice(["x", f"v{k}", f"y{r.randrange(5)}"]) if r.random() < rate else w for w in base)))
+    got = jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, got.collect())) == brute_join(rows)
+
+
+def test_join_with_many_hot_paths(spark, monkeypatch):
+    """A passage in every document: paths that must be split, beyond what may be broadcast."""
+    monkeypatch.setattr(jaccard, "BROADCAST_PATHS", 0)
+    monkeypatch.setattr(jaccard, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(jaccard, "SMALL", 8)
+    monkeypatch.setattr(jaccard, "PART", 16)
+    monkeypatch.setattr(jaccard, "BROADCAST_MEMBERS", 0)
+    monkeypatch.setattr(jaccard, "BLOCK_LEAST", 100)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(k, f"{' '.join(f'a{k // 2}x{i}' for i in range(60))} {passage}{' more' * (k % 2)}") for k in range(120)]
+    rows += [(1000 + k, " ".join(f"t{i}" if i != k else f"v{k}" for i in range(120))) for k in range(100)]
+    got = jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, got.collect())) == brute_join(rows)
+
+
+@pytest.mark.parametrize("names", [("away", "rows"), ("_away", "AWAY"), ("salt", "set_id"), ("class_id", "n_links")])
+def test_names_pass_through_distinct(spark, names):
+    rows = [(1, "a b c d e f g", 5, 6), (2, "a b c d e f g", 7, 8), (2, "a b c d e f g", 7, 8), (3, "other words that stand alone here", 1, 2), (3, "and more words that stand alone", 3, 4)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    got = jaccard.distinct(df).collect()
+    assert sorted(r.doc_id for r in got) == [1, 3] and all(tuple(r) in rows for r in got)
+
+
 def test_runs_meet_the_target():
     assert jaccard.runs_needed(0.9) < jaccard.runs_needed(0.99) < 20
 
 
-def test_components_of_chains(spark):
-    edges = [(i, i + 1) for i in range(200)] + [(500, 501), (502, 501), (7, 7)]
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(200)] + [(500, 501), (502, 501), (7, 7), (900, 900), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert all(got[i] == 0 for i in range(201)) and got[500] == got[501] == got[502] == 500
+    assert got == {i: 0 for i in range(201)} | {i: 500 for i in (500, 501, 502)}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_arrays_pack():
-    import numpy as np
+@pytest.mark.parametrize("shape", ["chain", "star", "path of stars"])
+def test_components_in_many_chunks(spark, monkeypatch, shape):
+    """Ten thousand links against chunks of 1,500: the rounds are few, whatever the shape."""
+    made = {
+        "chain": [(i, i + 1) for i in range(10_000)],
+        "star": [(7777, i) for i in range(10_000) if i != 7777],
+        "path of stars": [(100 * (i // 100), i) for i in range(10_000) if i % 100] + [(i, i + 100) for i in range(0, 9900, 100)],
+    }[shape]
+    rounds, one = [], components_module._round
+    monkeypatch.setattr(components_module, "_round", lambda edges, k: rounds.append(k) or one(edges, k))
+    order = np.random.default_rng(4).permutation(len(made)).tolist()
+    rows = components(spark.createDataFrame([made[i] for i in order], "u long, v long"), 1500).collect()
+    nodes = {x for e in made for x in e}
+    assert {r.node for r in rows} == nodes and len(rows) == len(nodes) and {r.root for r in rows} == {0}
+    assert 0 < len(rounds) <= 8
 
+
+def test_arrays_pack():
     x = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000).astype(np.uint64))
     assert (blocks.inflate_sorted(blocks.deflate_sorted(x)) == x).all() and len(blocks.inflate(b"", np.int64)) == 0
