@@ -1,4 +1,7 @@
-"""A character-level bidirectional LSTM with CRF transitions, in numpy: training, and decoding in batches."""
+"""A character-level bidirectional LSTM with CRF transitions, in numpy: training, and decoding in batches.
+
+Both directions run in one loop over time, as one batch of two.
+"""
 
 from __future__ import annotations
 
@@ -20,46 +23,44 @@ class BiLstmCrf:
     def __init__(self, symbols: int, labels: int, hidden: int = 16, seed: int = 7) -> None:
         r = np.random.default_rng(seed)
         self.h, self.n_labels = hidden, labels
-        self.p = {}
-        for d in "fb":
-            self.p[f"w{d}"] = r.normal(0, 0.3, (symbols, 4 * hidden))
-            self.p[f"u{d}"] = r.normal(0, 1 / np.sqrt(hidden), (hidden, 4 * hidden))
-            self.p[f"c{d}"] = np.repeat([0.0, 1.0, 0.0, 0.0], hidden)  # forget gates start open
-        self.p["out"] = r.normal(0, 0.3, (2 * hidden, labels))
-        self.p["bias"] = np.zeros(labels)
-        self.p["trans"] = np.zeros((labels, labels))
-        self.p["first"] = np.zeros(labels)
-
-    def _lstm(self, x: np.ndarray, d: str, keep: bool):
-        """Hidden states (time, batch, hidden) of one direction over symbols (batch, time)."""
+        bias = np.repeat([0.0, 1.0, 0.0, 0.0], hidden)  # forget gates start open
+        self.p = {
+            "w": r.normal(0, 0.3, (2, symbols, 4 * hidden)) + bias,
+            "u": r.normal(0, 1 / np.sqrt(hidden), (2, hidden, 4 * hidden)),
+            "out": r.normal(0, 0.3, (2 * hidden, labels)),
+            "bias": np.zeros(labels),
+            "trans": np.zeros((labels, labels)),
+            "first": np.zeros(labels),
+        }
+
+    def _lstm(self, x: np.ndarray, keep: bool):
+        """Hidden states (time, batch, 2 * hidden) over symbols (batch, time), and what training needs."""
         n, t = x.shape
-        w, u, c0, h = self.p[f"w{d}"], self.p[f"u{d}"], self.p[f"c{d}"], self.h
-        hs = np.zeros((t, n, h), w.dtype)
-        state, cell, tape = np.zeros((n, h), w.dtype), np.zeros((n, h), w.dtype), []
-        w = w + c0
-        for k in range(t) if d == "f" else range(t - 1, -1, -1):
-            z = w[x[:, k]] + state @ u
-            gates, g = _sigmoid(z[:, : 3 * h]), np.tanh(z[:, 3 * h :])
-            i, f, o = gates[:, :h], gates[:, h : 2 * h], gates[:, 2 * h :]
+        h, u = self.h, self.p["u"]
+        both = np.stack([x.T, x.T[::-1]], axis=1)  # (time, direction, batch); the second one runs backwards
+        state, cell = np.zeros((2, n, h), u.dtype), np.zeros((2, n, h), u.dtype)
+        hs, tape = np.empty((t, 2, n, h), u.dtype), []
+        for k in range(t):
+            z = np.stack([self.p["w"][0][both[k, 0]], self.p["w"][1][both[k, 1]]]) + state @ u
+            gates, g = _sigmoid(z[:, :, : 3 * h]), np.tanh(z[:, :, 3 * h :])
+            i, f, o = gates[:, :, :h], gates[:, :, h : 2 * h], gates[:, :, 2 * h :]
             before, old = state, cell
             cell = f * cell + i * g
             tanh = np.tanh(cell)
             state = o * tanh
             hs[k] = state
             if keep:
-                tape.append((k, i, f, o, g, tanh, old, before))
-        return hs, tape
+                tape.append((i, f, o, g, tanh, old, before))
+        return np.concatenate([hs[:, 0], hs[::-1, 1]], axis=2), both, tape
 
     def emissions(self, x: np.ndarray, keep: bool = False):
-        forward, tape_f = self._lstm(x, "f", keep)
-        backward, tape_b = self._lstm(x, "b", keep)
-        both = np.concatenate([forward, backward], axis=2)
-        return both @ self.p["out"] + self.p["bias"], (both, tape_f, tape_b)
+        hidden, both, tape = self._lstm(x, keep)
+        return hidden @ self.p["out"] + self.p["bias"], (hidden, both, tape)
 
     def loss(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-likelihood of the label sequences, and its gradients."""
         n, t = x.shape
-        e, (both, tape_f, tape_b) = self.emissions(x, keep=True)
+        e, (hidden, both, tape) = self.emissions(x, keep=True)
         trans, first = self.p["trans"], self.p["first"]
         alpha, beta = np.zeros_like(e), np.zeros_like(e)
         alpha[0] = first + e[0]
@@ -68,35 +69,36 @@ class BiLstmCrf:
         for k in range(t - 2, -1, -1):
             beta[k] = _logsumexp(trans + (e[k + 1] + beta[k + 1])[:, None, :], 2)
         log_z = _logsumexp(alpha[-1], 1)
-        rows, grad = np.arange(n), {k: np.zeros_like(v) for k, v in self.p.items()}
-        gold = first[y[:, 0]] + sum(e[k][rows, y[:, k]] for k in range(t)) + sum(trans[y[:, k - 1], y[:, k]] for k in range(1, t))
+        rows, times, grad = np.arange(n), np.arange(t), {k: np.zeros_like(v) for k, v in self.p.items()}
+        gold = first[y[:, 0]] + e[times[:, None], rows, y.T].sum(0) + trans[y[:, :-1], y[:, 1:]].sum(1)
         de = np.exp(alpha + beta - log_z[None, :, None])
-        np.add.at(grad["first"], y[:, 0], -1.0)
-        grad["first"] += de[0].sum(0)
-        for k in range(1, t):
-            pair = alpha[k - 1][:, :, None] + trans + (e[k] + beta[k])[:, None, :] - log_z[:, None, None]
-            grad["trans"] += np.exp(pair).sum(0)
-            np.add.at(grad["trans"], (y[:, k - 1], y[:, k]), -1.0)
-        for k in range(t):
-            de[k][rows, y[:, k]] -= 1.0
-        grad["out"] = np.tensordot(both, de, axes=([0, 1], [0, 1]))
+        grad["first"] = de[0].sum(0) - np.bincount(y[:, 0], minlength=self.n_labels)
+        pairs = alpha[:-1, :, :, None] + trans + (e[1:] + beta[1:])[:, :, None, :] - log_z[None, :, None, None]
+        grad["trans"] = np.exp(pairs).sum((0, 1))
+        np.add.at(grad["trans"], (y[:, :-1].ravel(), y[:, 1:].ravel()), -1.0)
+        de[times[:, None], rows, y.T] -= 1.0
+        grad["out"] = np.tensordot(hidden, de, axes=([0, 1], [0, 1]))
         grad["bias"] = de.sum((0, 1))
-        dboth = de @ self.p["out"].T
-        self._back(x, "f", tape_f, dboth[:, :, : self.h], grad)
-        self._back(x, "b", tape_b, dboth[:, :, self.h :], grad)
+        self._back(both, tape, de @ self.p["out"].T, grad)
         return float((log_z - gold).mean()), {k: v / n for k, v in grad.items()}
 
-    def _back(self, x, d, tape, dh, grad) -> None:
-        u, n = self.p[f"u{d}"], x.shape[0]
-        dstate, dcell = np.zeros((n, self.h)), np.zeros((n, self.h))
-        for k, i, f, o, g, tanh, old, before in reversed(tape):
+    def _back(self, both, tape, dhidden, grad) -> None:
+        h, u, t, n = self.h, self.p["u"], len(tape), both.shape[2]
+        dh = np.stack([dhidden[:, :, :h], dhidden[::-1, :, h:]], axis=1)
+        dstate, dcell, dz = np.zeros((2, n, h)), np.zeros((2, n, h)), np.empty((t, 2, n, 4 * h))
+        back = u.transpose(0, 2, 1)
+        for k in range(t - 1, -1, -1):
+            i, f, o, g, tanh, old, _ = tape[k]
             dstate = dstate + dh[k]
             dcell = dcell + dstate * o * (1 - tanh * tanh)
-            dz = np.concatenate([dcell * g * i * (1 - i), dcell * old * f * (1 - f), dstate * tanh * o * (1 - o), dcell * i * (1 - g * g)], axis=1)
-            np.add.at(grad[f"w{d}"], x[:, k], dz)
-            grad[f"c{d}"] += dz.sum(0)
-            grad[f"u{d}"] += before.T @ dz
-            dstate, dcell = dz @ u.T, dcell * f
+            dz[k] = np.concatenate([dcell * g * i * (1 - i), dcell * old * f * (1 - f), dstate * tanh * o * (1 - o), dcell * i * (1 - g * g)], axis=2)
+            dstate, dcell = dz[k] @ back, dcell * f
+        before = np.stack([step[6] for step in tape])
+        symbols = np.arange(self.p["w"].shape[1])
+        for d in (0, 1):
+            flat = dz[:, d].reshape(t * n, 4 * h)
+            grad["u"][d] = before[:, d].reshape(t * n, h).T @ flat
+            grad["w"][d] = (symbols[:, None] == both[:, d].reshape(1, t * n)).astype(float) @ flat
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int, batch: int = 64, rate: float = 0.02, seed: int = 11) -> list[float]:
         """Adam over shuffled batches; the losses of the epochs."""
@@ -123,10 +125,8 @@ class BiLstmCrf:
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         return self
 
-    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The best labels (batch, time) by Viterbi, and by how much each beats label 0 at its place."""
-        e, _ = self.emissions(x)
-        e[(x == PAD).T] = [0.0] + [-1e4] * (self.n_labels - 1)
+    def viterbi(self, e: np.ndarray) -> np.ndarray:
+        """The best labels (batch, time) for emissions (time, batch, labels)."""
         t, n, _ = e.shape
         back, best = np.zeros((t, n, self.n_labels), np.int8), self.p["first"] + e[0]
         for k in range(1, t):
@@ -138,5 +138,4 @@ class BiLstmCrf:
         rows = np.arange(n)
         for k in range(t - 1, 0, -1):
             labels[:, k - 1] = back[k][rows, labels[:, k]]
-        chosen = np.take_along_axis(e, labels.T[:, :, None].astype(np.int64), 2)[:, :, 0]
-        return labels, (chosen - e[:, :, 0]).T
+        return labels

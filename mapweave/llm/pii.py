@@ -2,14 +2,15 @@
 
 The network is trained in numpy from labelled spans. ``examples`` writes such spans with a seeded
 generator (plain and loose forms, among numbers, codes and words that are none of them); callers can
-pass their own. A text is cut into overlapping windows, each window is decoded by Viterbi, and the
-spans of all windows are reconciled over the whole text: spans cut by a window's edge yield to the
-window that sees them whole, equal ones fall together, and of those that overlap the choice with the
-greatest total score stays (weighted interval scheduling).
-
-Each of the four kinds has a digit or an ``@``; a decoded span without either is dropped. So a window
-without such a character has no span whatever the network says, and is not decoded: results are the
-same, to the last span, as if it were.
+pass their own. A stretch of text around the characters that a span needs is cut into overlapping windows,
+counted from the stretch's own beginning; the emissions of the windows are blended where they
+overlap, the weight of each falling towards its edges, and one Viterbi pass runs over the whole stretch.
+So no span is cut by a window's edge, and where a text begins makes no difference. A span that meets the end
+of its stretch is decoded again with more text around it. Spans of all stretches are reconciled over the whole
+text: of those that overlap the choice with the greatest total score stays (weighted interval scheduling).
+
+Each of the four kinds has a digit or an ``@``; a decoded span without either is dropped, so text far from
+such characters is not decoded. Forms without them (``name at host dot com``, numbers in words) are not sought.
 """
 
 from __future__ import annotations
@@ -24,13 +25,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from mapweave.llm.bilstm import BiLstmCrf
+from mapweave.llm.bilstm import PAD, BiLstmCrf
 from mapweave.llm.session import documents, prepare
 
 KINDS = ("email", "ip", "card", "phone")
-WIDTH, STRIDE, HIDDEN, EPOCHS, EXAMPLES = 96, 48, 16, 14, 1200
+WIDTH, STRIDE, HIDDEN, EPOCHS, EXAMPLES = 96, 48, 24, 16, 3000
+#: Characters of text around a digit or ``@`` that are decoded, also where a span meets the end of the first; and the
+#: longest part of a stretch that one Viterbi pass takes, ``FAR`` more on both sides: a span is of the part it starts in.
+NEAR, FAR, PART = 40, 256, 2048
 #: Least total by which a span's labels beat "none", and windows decoded at once.
-LEAST_SCORE, WINDOWS_AT_ONCE = 12.0, 2048
+LEAST_SCORE, WINDOWS_AT_ONCE = 4.0, 2048
 RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -38,6 +42,7 @@ _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_NUMBERS = re.compile(r"[+(]?[0-9](?:.*[0-9])?", re.DOTALL)
 _CANDIDATE = re.compile(r"[0-9@]")
 _PLAIN = "@.-+()[]_%:/, \n"
 
@@ -95,18 +100,21 @@ def symbols(text: str, table: np.ndarray) -> np.ndarray:
 
 
 def examples(n: int = EXAMPLES, seed: int = 3) -> list[tuple[str, list[tuple[int, int, int]]]]:
-    """Texts of a window's length with labelled (kind, start, end) spans."""
+    """Texts of a window's length or less with labelled (kind, start, end) spans, which can reach over the edges."""
     r = random.Random(seed)
     pick = r.choice
     syllables = "the an re tion ing ed er on es de la que os ar en un ch der ge ie sch ung le ou ai é ü ó ñ".split()
     word = lambda: "".join(pick(syllables) for _ in range(r.randint(1, 4)))
     num = lambda k: "".join(pick("0123456789") for _ in range(k))
-    plain_word = lambda: "".join(pick("abcdefghijklmnoprstuvw") for _ in range(r.randint(2, 9)))
+    plain_word = lambda least=2: "".join(pick("abcdefghijklmnopqrstuvwxyz") if r.random() < 0.4 else pick(syllables[:22]) for _ in range(r.randint(least, 5)))
+
+    def label():
+        return plain_word(1) + pick(["", "", "", "-" + plain_word(1), num(1), "-" + pick(["and", "of", "the"]) + "-" + plain_word(1)])
 
     def email():
-        name = pick([plain_word, lambda: plain_word() + "." + num(r.randint(1, 3)), lambda: plain_word() + "_" + plain_word()])()
-        host = pick(["mail", "mx", plain_word()]) + pick(["", num(1)]) + "." + plain_word() + pick([".com", ".org", ".net", ".de", ".example.com"])
-        return name + pick(["@", "@", "@", " @ ", "@ ", " @"]) + host
+        name = plain_word(1) + pick(["", "", num(r.randint(1, 4)), pick("._-") + plain_word(1), pick("._-") + num(2), pick("._-") + plain_word(1) + num(2)])
+        host = ".".join(pick(["mail", "mx" + num(1), label(), label()]) for _ in range(r.randint(1, 3))) + "." + pick(["com", "org", "net", "de", "fr", "es", "io", "co.uk", plain_word(1)[:3] + "x"])
+        return pick([name, name, name.capitalize()]) + pick(["@", " @ ", " @ ", "@ ", " @"]) + host
 
     def ip():
         return ".".join(str(r.randint(0, 255)) for _ in range(4))
@@ -117,7 +125,7 @@ def examples(n: int = EXAMPLES, seed: int = 3) -> list[tuple[str, list[tuple[int
 
     def phone():
         a, b, c = num(3), num(3), num(4)
-        return pick([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{num(2)} {num(2)} {num(6)}", f"{a}.{b}.{c}", f"+{num(1)}-{a}-{b}-{c}"])
+        return pick([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}-{b}-{c}", f"+{num(2)} {num(2)} {num(6)}", f"{a}.{b}.{c}", f"+{num(1)}-{a}-{b}-{c}"])
 
     def none():
         return pick([
@@ -137,20 +145,25 @@ def examples(n: int = EXAMPLES, seed: int = 3) -> list[tuple[str, list[tuple[int
                 spans.append((k, len(text), len(text) + len(piece)))
             else:
                 piece = none() if what < 0.3 else word().capitalize() if what < 0.4 else word()
-            text += piece + pick([" ", " ", " ", ", ", ". ", "\n", "*** ", "### ", " | "])
-        cut = r.randint(0, max(0, len(text) - WIDTH))
-        out.append((text[cut : cut + WIDTH], [(k, max(0, s - cut), min(WIDTH, e - cut)) for k, s, e in spans if s - cut < WIDTH and e - cut > 0]))
+            text += piece + pick([" ", " ", " ", " ", " ", ", ", ", ", ". ", ". ", "? ", ": ", ") ", " (", "\n", "*** ", "### ", " | "])
+        width = pick([WIDTH, WIDTH, r.randint(12, WIDTH)])
+        cut = r.randint(0, max(0, len(text) - width))
+        out.append((text[cut : cut + width], [(k, s - cut, e - cut) for k, s, e in spans if s - cut < width and e - cut > 0]))
     return out
 
 
 def labelled(rows: list[tuple[str, list[tuple[int, int, int]]]]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and labels of windows: 0 none, 1 + 2k first and 2 + 2k further characters of kind k."""
+    """Symbols and labels of windows: 0 none, 1 + 2k first and 2 + 2k further characters of kind k.
+
+    A span that began before the window has no first character in it.
+    """
     x, y, table = np.zeros((len(rows), WIDTH), np.int64), np.zeros((len(rows), WIDTH), np.int64), symbol_table()
     for row, (text, spans) in enumerate(rows):
         x[row, : len(text)] = symbols(text, table)[:WIDTH]
         for k, s, e in spans:
-            y[row, s:e] = 2 + 2 * k
-            y[row, s] = 1 + 2 * k
+            y[row, max(0, s) : min(e, len(text))] = 2 + 2 * k
+            if s >= 0:
+                y[row, s] = 1 + 2 * k
     return x, y
 
 
@@ -167,6 +180,25 @@ def _plausible(kind: int, text: str) -> bool:
     return ("@" in text and "." in text, text.count(".") == 3 and 4 <= d <= 12, 13 <= d <= 19 and luhn(_digits(text)), 7 <= d <= 15)[kind]
 
 
+def tidied(kind: int, text: str, start: int, end: int) -> tuple[int, int] | None:
+    """The bounds that a found span has by its characters: whole names and hosts, first to last digit; or nothing."""
+    if kind:
+        m = _NUMBERS.search(text, start, end)
+        return m and (m.start(), m.end())
+    at = text.find("@", start, end)
+    host = at + 1
+    while 0 < host < len(text) and text[host] == " ":
+        host += 1
+    domain = _DOMAIN.match(text, host) if at >= 0 else None
+    stop = at
+    while stop > 0 and text[stop - 1] == " ":
+        stop -= 1
+    begin = stop
+    while begin > 0 and _LOCAL.match(text[begin - 1]):
+        begin -= 1
+    return (begin, domain.end()) if domain and begin < stop else None
+
+
 def reconciled(spans: dict[tuple[int, int, int], float]) -> list[tuple[int, int, int]]:
     """Of (start, end, kind) spans with scores, those without overlaps that have the greatest total."""
     order = sorted(spans, key=lambda x: (x[1], x[0], x[2]))
@@ -186,49 +218,102 @@ def reconciled(spans: dict[tuple[int, int, int], float]) -> list[tuple[int, int,
     return out[::-1]
 
 
-def model_spans(model: BiLstmCrf, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-    """(kind, start, end) spans of each text by the network alone."""
-    table, found = symbol_table(), [{} for _ in texts]
-    held: list[tuple[int, int, np.ndarray]] = []
+def stretches(marks: np.ndarray, length: int) -> list[tuple[int, int, int, int]]:
+    """(start, end, core start, core end) of the text around marks; long stretches in parts that overlap."""
+    if not len(marks):
+        return []
+    breaks = np.flatnonzero(np.diff(marks) > 2 * NEAR)
+    out = []
+    for a, b in zip([0, *(breaks + 1).tolist()], [*breaks.tolist(), len(marks) - 1], strict=True):
+        start, end = max(0, int(marks[a]) - NEAR), min(length, int(marks[b]) + 1 + NEAR)
+        for at in range(start, end, PART):
+            core = min(end, at + PART)
+            out.append((max(start, at - FAR), min(end, core + FAR), at, core))
+    return out
 
-    def decode():
-        x = np.zeros((len(held), WIDTH), np.int64)
-        for row, (_, _, codes) in enumerate(held):
+
+_SLOPE = {n: np.minimum(np.arange(1, n + 1), np.arange(n, 0, -1)).astype(np.float32) for n in range(1, WIDTH + 1)}
+
+
+def blended(model: BiLstmCrf, stretch: list[np.ndarray]) -> list[np.ndarray]:
+    """Emissions (characters, labels) of each stretch of symbols, from windows that overlap by half."""
+    starts = [(k, at) for k, codes in enumerate(stretch) for at in range(0, max(1, len(codes) - WIDTH + STRIDE), STRIDE)]
+    out = [np.zeros((len(codes), model.n_labels), np.float32) for codes in stretch]
+    weights = [np.zeros(len(codes), np.float32) for codes in stretch]
+    for low in range(0, len(starts), WINDOWS_AT_ONCE):
+        some = starts[low : low + WINDOWS_AT_ONCE]
+        x = np.full((len(some), WIDTH), PAD, np.int64)
+        for row, (k, at) in enumerate(some):
+            codes = stretch[k][at : at + WIDTH]
             x[row, : len(codes)] = codes
-        labels, lead = model.decode(x)
-        for row in np.flatnonzero(labels.any(1)):
-            of, start, codes = held[row]
-            text, mine, j = texts[of], labels[row], 0
-            while j < len(codes):
+        e = model.emissions(x)[0]
+        for row, (k, at) in enumerate(some):
+            n = min(WIDTH, len(stretch[k]) - at)
+            out[k][at : at + n] += _SLOPE[n][:, None] * e[:n, row]
+            weights[k][at : at + n] += _SLOPE[n]
+    return [e / w[:, None] for e, w in zip(out, weights, strict=True)]
+
+
+def decoded(model: BiLstmCrf, emissions: list[np.ndarray]) -> list[list[tuple[int, int, int, float]]]:
+    """(kind, start, end, score) of the spans in each stretch, by Viterbi over its whole length."""
+    out: list[list] = [[] for _ in emissions]
+    order = sorted(range(len(emissions)), key=lambda k: len(emissions[k]))
+    while order:
+        some, size = [], 0
+        while order and (not some or size + len(emissions[order[-1]]) <= WINDOWS_AT_ONCE * WIDTH and len(emissions[order[-1]]) * 2 >= len(emissions[some[0]])):
+            some.append(order.pop())
+            size += len(emissions[some[-1]])
+        e = np.full((len(emissions[some[0]]), len(some), model.n_labels), -1e4, np.float32)
+        e[:, :, 0] = 0
+        for row, k in enumerate(some):
+            e[: len(emissions[k]), row] = emissions[k]
+        labels = model.viterbi(e)
+        for row in np.flatnonzero(labels.any(1)).tolist():
+            k, mine, j = some[row], labels[row].tolist(), 0
+            lead = emissions[k][np.arange(len(emissions[k])), labels[row, : len(emissions[k])]] - emissions[k][:, 0]
+            while j < len(emissions[k]):
                 if mine[j] == 0:
                     j += 1
                     continue
                 kind, begin = (mine[j] - 1) // 2, j
                 j += 1
-                while j < len(codes) and mine[j] == 2 + 2 * kind:
+                while j < len(emissions[k]) and mine[j] == 2 + 2 * kind:
                     j += 1
-                cut = begin == 0 and start > 0 or j == WIDTH and start + WIDTH < len(text)
-                s, e = start + begin, start + j
-                score = float(lead[row, begin:j].sum())
-                if not cut and score >= LEAST_SCORE and _CANDIDATE.search(text, s, e) and _plausible(int(kind), text[s:e]):
-                    key = (s, e, int(kind))
+                out[k].append((kind, begin, j, float(lead[begin:j].sum())))
+    return out
+
+
+def model_spans(model: BiLstmCrf, texts: list[str]) -> list[list[tuple[int, int, int]]]:
+    """(kind, start, end) spans of each text by the network alone."""
+    table, found = symbol_table(), [{} for _ in texts]
+    codes = [symbols(t, table) if _CANDIDATE.search(t) else None for t in texts]
+    jobs = [(of, *x) for of, c in enumerate(codes) if c is not None for x in stretches(np.flatnonzero((c == 1) | (c == table[ord("@")])), len(c))]
+    wider = []
+
+    def decode(some, last: bool) -> None:
+        spans = decoded(model, blended(model, [codes[of][a:b] for of, a, b, _, _ in some]))
+        for (of, start, end, core, core_end), mine in zip(some, spans, strict=True):
+            text = texts[of]
+            if not last and any((b == 0 and start > 0) or (e == end - start and end < len(text)) for _, b, e, _ in mine):
+                wider.append((of, max(0, start - FAR), min(len(text), end + FAR), core, core_end))
+                continue
+            for kind, b, e, score in mine:
+                # What was only added around a stretch belongs to another stretch, or to none.
+                inside = core <= start + b < core_end or last and start + b < core_end and start + e > core
+                if inside and score >= LEAST_SCORE and (place := tidied(kind, text, start + b, start + e)) and _plausible(kind, text[place[0] : place[1]]):
+                    key = (*place, kind)
                     found[of][key] = max(score, found[of].get(key, score))
-        held.clear()
-
-    for of, text in enumerate(texts):
-        if not _CANDIDATE.search(text):
-            continue
-        codes = symbols(text, table)
-        marks = np.zeros(len(codes) + 1, np.int64)
-        np.cumsum((codes == 1) | (codes == table[ord("@")]), out=marks[1:])
-        for start in range(0, max(1, len(codes) - WIDTH + STRIDE), STRIDE):
-            end = min(len(codes), start + WIDTH)
-            if marks[end] > marks[start]:
-                held.append((of, start, codes[start:end]))
-                if len(held) >= WINDOWS_AT_ONCE:
-                    decode()
-    if held:
-        decode()
+
+    for todo, last in ((jobs, False), (wider, True)):
+        held, size = [], 0
+        for job in todo:
+            held.append(job)
+            size += job[2] - job[1]
+            if size >= WINDOWS_AT_ONCE * STRIDE:
+                decode(held, last)
+                held, size = [], 0
+        if held:
+            decode(held, last)
     return [[(k, s, e) for s, e, k in reconciled(x)] for x in found]
 
 
@@ -245,8 +330,9 @@ def all_spans(model: BiLstmCrf, texts: list[str]) -> list[tuple[list[tuple[int,
 def found(docs: DataFrame, examples_used: int = EXAMPLES) -> DataFrame:
     """Per document: matches of each plain form, a hash of their spans, and all spans.
 
-    Null and empty texts have none; each row is judged by itself; an empty table gives an empty result;
-    other columns are dropped. Whole texts are read; offsets count code points.
+    Null, empty and blank texts have none; each row is judged by itself, repeated rows and null ids too; an empty table
+    gives an empty result; other columns, whatever their names, are dropped. Very long texts are read whole; offsets
+    count code points. Of spans that the network scores alike the one that ends first stays.
     """
     prepare(docs.sparkSession)
     model = trained(examples_used)
