@@ -5,8 +5,8 @@ conjunctive rule. A logistic model with an L1 penalty over all distinct rules ke
 these are compiled into one Spark expression, so scoring is a projection. Statistics are made in Spark,
 once for all documents; the label, the language, the source and the id are no part of them.
 
-Only the fitting sample passes through the driver: at most ``SAMPLE`` labelled rows, a share
-of all by hash of their id, and of each row a dozen numbers.
+Only the fitting sample passes through the driver: at most ``SAMPLE`` different labelled rows, each a dozen
+numbers and how often it occurs. Where there are more, a share of them is drawn by hash.
 """
 
 from __future__ import annotations
@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 from mapweave.llm.quality import STATS, stats
 from mapweave.llm.session import checkpointed
 
-#: Labelled rows that are fitted at most.
+#: Different labelled rows that are fitted at most.
 SAMPLE = 20_000
 FOLDS, CUT = 5, 0.3
 TREES, DEPTH, PART, SPLITS, LEAST_ROWS, PENALTY = 40, 3, 3000, 24, 5, 0.001
-FEATURES = ("words", "word_length", "symbols", "pipes", "repeats", "dup_lines", "exclaims", "capitals", "commas", "lines", "digits")
-_COUNTED = {"pipes": "|", "exclaims": "!", "commas": ",", "lines": "\n", "digits": "0123456789"}
+FEATURES = ("words", "word_length", "symbols", "repeats", "dup_lines", "exclaims", "capitals", "commas", "lines", "digits")
+_COUNTED = {"exclaims": "!", "commas": ",", "digits": "0123456789"}
 _P = "rule_feature_"
 
 
@@ -46,8 +46,7 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "word_length": F.col(f"{_P}word_chars") / n,
         "symbols": F.col(f"{_P}n_symbols") / chars,
         "repeats": F.col(f"{_P}n_repeat_words") / n,
-        "dup_lines": F.col(f"{_P}n_dup_lines") / n,
-        "pipes": F.col(f"{_P}n_pipes") / n,
+        "dup_lines": F.col(f"{_P}n_dup_lines") / F.greatest(F.col(f"{_P}n_lines"), F.lit(1)),
         "exclaims": F.col(f"{_P}n_exclaims") / n,
         "capitals": F.col(f"{_P}n_capitals") / chars,
         "commas": F.col(f"{_P}n_commas") / n,
@@ -105,14 +104,14 @@ def grown(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, path: tuple =
     return out
 
 
-def lasso(a: np.ndarray, y: np.ndarray, penalty: float, steps: int = 600) -> tuple[float, np.ndarray]:
+def lasso(a: np.ndarray, y: np.ndarray, times: np.ndarray, penalty: float, steps: int = 600) -> tuple[float, np.ndarray]:
     """Intercept and weights of a logistic model with an L1 penalty on the weights, by accelerated proximal steps."""
-    n, p = a.shape
-    a1 = np.column_stack([np.ones(n), a])
-    size = np.linalg.norm(a1, 2) ** 2 / (4 * n) if n else 1.0
+    n, p = times.sum(), a.shape[1]
+    a1 = np.column_stack([np.ones(len(a)), a])
+    size = np.linalg.norm(a1 * np.sqrt(times)[:, None], 2) ** 2 / (4 * n)
     w, z, t = np.zeros(p + 1), np.zeros(p + 1), 1.0
     for _ in range(steps):
-        gradient = a1.T @ (1 / (1 + np.exp(-np.clip(a1 @ z, -30, 30))) - y) / n
+        gradient = a1.T @ (times * (1 / (1 + np.exp(-np.clip(a1 @ z, -30, 30))) - y)) / n
         new = z - gradient / size
         new[1:] = np.sign(new[1:]) * np.maximum(np.abs(new[1:]) - penalty / size, 0)
         t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
@@ -136,15 +135,19 @@ class Ensemble:
         return 1 / (1 + F.exp(-F.greatest(F.least(total, F.lit(30.0)), F.lit(-30.0))))
 
 
-def fitted(x: np.ndarray, y: np.ndarray, seed: int = 5) -> Ensemble:
-    """With one class only, or no rows, the ensemble has no rules and gives the smoothed share of label 1."""
-    share = (y.sum() + 1) / (len(y) + 2)
+def fitted(x: np.ndarray, y: np.ndarray, times: np.ndarray | None = None, seed: int = 5) -> Ensemble:
+    """With one class only, or no rows, the ensemble has no rules and gives the smoothed share of label 1.
+
+    Row ``i`` counts as ``times[i]`` rows, else as one.
+    """
+    times = np.ones(len(y)) if times is None else times
+    share = ((times * y).sum() + 1) / (times.sum() + 2)
     constant = Ensemble(float(np.log(share / (1 - share))), ())
     if not len(y) or y.min() == y.max():
         return constant
     rng, rules, seen, columns = np.random.default_rng(seed), [], set(), []
     for _ in range(TREES):
-        rows = rng.choice(len(y), min(len(y), PART))
+        rows = rng.choice(len(y), min(len(y), PART), p=times / times.sum())
         for rule in grown(x[rows], y[rows], rng):
             column = rule.holds(x)
             key = column.tobytes()
@@ -154,7 +157,7 @@ def fitted(x: np.ndarray, y: np.ndarray, seed: int = 5) -> Ensemble:
                 columns.append(column)
     if not rules:
         return constant
-    intercept, weights = lasso(np.array(columns, float).T, y, PENALTY)
+    intercept, weights = lasso(np.array(columns, float).T, y, times, PENALTY)
     return Ensemble(intercept, tuple((float(w), r) for w, r in zip(weights, rules, strict=True) if abs(w) > 1e-6))
 
 
@@ -163,21 +166,28 @@ def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
+def taught(made: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Ensemble:
+    """The ensemble fitted on rows of ``features`` whose id is not held out; equal rows pass as one with its count."""
+    pairs = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col(label).cast("double").alias("label"))
+    pairs = pairs.where(F.col("label").isNotNull() & F.col("label_id").isNotNull() & ~held_out(F.col("label_id"))).groupBy("label_id", "label").agg(F.count("*").alias("times"))
+    names = [f"{_P}{f}" for f in FEATURES]
+    rows = made.join(pairs, F.col("doc_id") == F.col("label_id")).groupBy("label_id", "label", *names).agg(F.sum("times").cast("double").alias("times"))
+    rows, parts = checkpointed(rows), 1 << 24
+    n = rows.count()
+    if n > sample:  # low enough that chance does not pass the bound (six deviations)
+        rows = rows.where(F.pmod(F.xxhash64("label_id", "label", *names), F.lit(parts)) < int(parts * (sample - 6 * sample**0.5) / n))
+    fit = rows.orderBy("label_id", "label", *names).select("times", "label", *names).toPandas().to_numpy(float)  # the same order each time
+    return fitted(fit[:, 2:], fit[:, 1], fit[:, 0])
+
+
 def scored(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> DataFrame:
     """Per document: doc_id, held_out, score (likelihood of label 1) and predicted (score at least 0.3).
 
-    Null and empty texts are scored as texts without words. Repeated rows repeat their score, and count
-    each when fitting; rows with a null label or id teach nothing. Without labels every score is 0.5. An
-    empty table gives an empty result; other columns are dropped.
+    Null and empty texts are scored as texts without words; very long ones are read whole. Repeated rows repeat
+    their score, and count each when fitting, repeated labels too; a document with two labels counts under both;
+    rows with a null label or id teach nothing. Without labels every score is 0.5. An empty table gives an empty
+    result; other columns of either table, whatever their names, are dropped.
     """
     made = checkpointed(features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
-    taught = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col(label).cast("double").alias("label")).where(F.col("label").isNotNull() & F.col("label_id").isNotNull() & ~held_out(F.col("label_id")))
-    n, parts = taught.count(), 1 << 24
-    if n > sample:  # a share by hash of the id, low enough that it passes the bound by chance never
-        taught = taught.where(F.pmod(F.xxhash64("label_id"), F.lit(parts)) < int(parts * (sample - 6 * sample**0.5) / n))
-    rows = made.join(taught, F.col("doc_id") == F.col("label_id"))
-    rows = rows.orderBy("label_id", "label")  # training on the same rows in the same order
-    fit = rows.select("label", *(f"{_P}{f}" for f in FEATURES)).toPandas().to_numpy(float)
-    ensemble = fitted(fit[:, 1:], fit[:, 0])
-    score = ensemble.column()
+    score = taught(made, labels, label, sample).column()
     return made.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= CUT).cast("int"))

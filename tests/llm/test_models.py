@@ -2,6 +2,9 @@
 
 import hashlib
 import math
+import random
+import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -11,6 +14,8 @@ from pyspark.sql import functions as F
 
 from mapweave.llm import lattice, lm, rulefit
 
+from .test_rules import brute_stats
+
 
 @pytest.fixture(scope="module")
 def library():
@@ -49,25 +54,32 @@ def test_explicit_merging(library):
         assert model.merged(" " + word.lstrip("▁")) == library.encode(word.lstrip("▁")) if "▁▁" not in word else True
 
 
-def brute_scores(plain):
-    tokens = lambda t: [*t.encode().lower().split(), b"\n"]
-    uni, bi = Counter(), Counter()
+def brute_scores(plain, order=lm.ORDER):
+    """By the formula alone: no states, no arcs."""
+    tokens = lambda t: [b"\t", *t.encode().lower().split(), b"\n"]
+    grams = Counter()
     for i, t in plain:
         if i is None or zlib.crc32(str(i).encode()) % 10:
-            row = [b"\t", *tokens(t)]
-            uni.update(row)
-            bi.update(zip(row, row[1:], strict=False))
-    n, v = sum(uni.values()) - uni[b"\t"], len(uni) - (b"\t" in uni)
-    p = lambda w: (uni[w] + 0.1) / (n + 0.1 * (v + 1))
+            row = tokens(t)
+            for m in range(1, order + 1):
+                grams.update(tuple(row[j : j + m]) for j in range(len(row) - m + 1))
+    unigrams = {g[0]: c for g, c in grams.items() if len(g) == 1 and g[0] != b"\t"}
+    n, v = sum(unigrams.values()), len(unigrams)
+
+    def p(context, w):
+        if not context:
+            return (unigrams.get(w, 0) + 0.1) / (n + 0.1 * (v + 1))
+        return (grams[*context, w] + lm.PRIOR * p(context[1:], w)) / (grams[context] + lm.PRIOR)
+
     for i, t in plain:
-        row = [b"\t", *tokens(t)]
-        score = sum(math.log10((bi[u, w] + lm.PRIOR * p(w)) / (uni[u] + lm.PRIOR)) for u, w in zip(row, row[1:], strict=False))
-        yield i, i is not None and zlib.crc32(str(i).encode()) % 10 == 0, len(row) - 1, sum(uni[w] > 0 for w in row[1:]), n, sum(math.log10(p(w)) for w in row[1:]), score
+        row = tokens(t)
+        score = sum(math.log10(p(tuple(row[max(0, j - order + 1) : j]), row[j])) for j in range(1, len(row)))
+        yield i, i is not None and zlib.crc32(str(i).encode()) % 10 == 0, len(row) - 1, sum(w in unigrams for w in row[1:]), n, sum(math.log10(p((), w)) for w in row[1:]), score
 
 
-def same_scores(df, rows):
+def same_scores(df, rows, order=lm.ORDER):
     key = lambda r: (r[0] is None, r[0] or 0, r[2], r[5])
-    got, expected = sorted(map(tuple, df.collect()), key=key), sorted(brute_scores(rows), key=key)
+    got, expected = sorted(map(tuple, df.collect()), key=key), sorted(brute_scores(rows, order), key=key)
     assert [r[:5] for r in got] == [r[:5] for r in expected]
     for a, b in zip(got, expected, strict=True):
         assert a[5:] == pytest.approx(b[5:], rel=1e-9, abs=1e-9)
@@ -77,6 +89,25 @@ def test_scores(docs, plain):
     same_scores(lm.score(docs, block_bytes=100_000, bucket_bytes=1 << 17), plain)
 
 
+@pytest.mark.parametrize("order", [1, 2, 5])
+def test_scores_of_other_orders(spark, monkeypatch, order):
+    """Short segments, few words, copies: failure arcs over several levels, and segments that begin inside a text."""
+    monkeypatch.setattr(lm, "SEGMENT", 7)
+    r = random.Random(order)
+    rows = [(k, " ".join(r.choice("a b c d e f B".split()) for _ in range(r.choice([0, 1, 2, 6, 7, 8, 40])))) for k in range(60)]
+    rows += [(100 + k, rows[k][1]) for k in range(20)] + [(None, "a b zz"), (300, " ".join(f"only{i}" for i in range(30)))]
+    same_scores(lm.score(spark.createDataFrame(rows, "doc_id long, text string"), order=order, block_bytes=500, bucket_bytes=700), rows, order)
+
+
+def test_texts_that_occur_twice_score_higher(docs, plain):
+    """What the corpus holds twice is likelier, token by token, than what it holds once."""
+    twice = {t for t, n in Counter(t for _, t in plain).items() if n > 1 and len(t.split()) > 50}
+    rows = {r.doc_id: r.score / r.n_tokens for r in lm.score(docs).where("not held_out").collect()}
+    high = [rows[i] for i, t in plain if i in rows and t in twice]
+    low = sorted(rows[i] for i, t in plain if i in rows and t not in twice and len(t.split()) > 50)
+    assert high and sorted(high)[len(high) // 2] > low[len(low) * 3 // 4]
+
+
 def test_score_edges(edge, empty):
     rows = [(r.doc_id, r.text or "") for r in edge.select("doc_id", "text").collect()]
     same_scores(lm.score(edge.select("doc_id", "text", "bucket")), rows)
@@ -107,6 +138,45 @@ def test_rules_hold_alike_in_both_engines(spark):
     assert [r[0] for r in df.select(model.column()).collect()] == pytest.approx(list(model.score(x)))
 
 
+def brute_features(text):
+    """The features of a text, each by its definition."""
+    w, chars = re.findall(r"[^\x20\x09-\x0D]+", text), text
+    n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines = brute_stats(text)
+    n, c = max(n_words, 1), max(word_chars, 1)
+    return [
+        math.log1p(len(w)), word_chars / n, n_symbols / c, n_repeat_words / n, n_dup_lines / max(n_lines, 1), chars.count("!") / n,
+        sum(unicodedata.category(x) == "Lu" for x in chars) / c, chars.count(",") / n, n_lines / n, sum(x in "0123456789" for x in chars) / c,
+    ]
+
+
+@pytest.mark.parametrize("which", ["docs", "edge"])
+def test_features_and_scores_by_definition(spark, sf, docs, edge, which):
+    df = docs if which == "docs" else edge
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    model = rulefit.taught(rulefit.features(docs.select("doc_id", "text")), labels)
+    rows = [(r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()]
+    x = np.array([brute_features(t) for _, t in rows])
+    made = rulefit.features(df.select("doc_id", "text"))
+    got = Counter((r[0], tuple(round(v, 9) for v in r[1:])) for r in made.select("doc_id", *(f"rule_feature_{f}" for f in rulefit.FEATURES)).collect())
+    assert got == Counter((i, tuple(round(v, 9) for v in f)) for (i, _), f in zip(rows, x.tolist(), strict=True))
+    if which == "docs":
+        scores = {r.doc_id: r for r in rulefit.scored(docs, labels).collect()}
+        for (i, _), s in zip(rows, model.score(x).tolist(), strict=True):
+            assert scores[i].score == pytest.approx(s) and scores[i].predicted == (s >= 0.3) and scores[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_repeated_rows_stay_within_the_bound(spark, monkeypatch):
+    """A thousand copies of a row and of its label are one row of weight a million, however small the sample."""
+    seen = []
+    monkeypatch.setattr(rulefit, "fitted", lambda x, y, times: seen.append((len(y), times.max())) or rulefit.Ensemble(0.0, ()))
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(ids[0], "one text")] * 1000 + [(i, f"text {'x' * i}") for i in ids[1:]], "doc_id long, text string")
+    labels = spark.createDataFrame([(ids[0], 1, 5)] * 1000 + [(i, i % 2, 5) for i in ids[1:]], "doc_id long, quality int, label_id int")
+    rulefit.scored(docs, labels).count()
+    rulefit.scored(docs, labels, sample=200).count()
+    assert seen[0] == (len(ids), 1e6) and 50 < seen[1][0] <= 200
+
+
 def test_all_capitals_count(spark):
     texts = ["BCD Fgh", "EAI", "\u00c9t\u00e9 \u00dcber \u0416", "none 1!", ""]
     rows = rulefit.features(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
