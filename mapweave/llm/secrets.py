@@ -96,8 +96,9 @@ def _joined(spans, rules) -> str:
 def found(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per document: matches of each base rule, a hash of the base spans, and all spans.
 
-    Null and empty texts have none. Each row is judged by itself, so repeated rows repeat their result;
-    an empty table gives an empty result; other columns are dropped. Offsets count code points.
+    Null, empty and blank texts have none; very long ones are read whole. Each row is judged by itself, so repeated
+    rows repeat their result, null ids too; an empty table gives an empty result; other columns, whatever their names,
+    are dropped. Matches of different rules that begin together are given in the rules' order. Offsets count code points.
     """
     prepare(docs.sparkSession)
     scanner = Scanner(rules)
@@ -122,10 +123,11 @@ def found(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def redacted(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, mask: str = "[{kind}]") -> DataFrame:
-    """The documents with every secret replaced by ``mask``; all columns and rows stay, null texts too.
+    """The documents with every secret replaced by ``mask``; all columns, whatever their names, and rows stay.
 
-    Spans of two rules that overlap are replaced together, named after the first. A column ``n_chars``,
-    where there is one, counts the code points of the new text.
+    Null, empty and blank texts stay as they are, very long ones are masked whole, repeated rows each; an empty table
+    gives an empty result. Spans of two rules that overlap are replaced together, named after the first; of two that begin
+    together the first rule's. A whole-number column ``n_chars``, where there is one, counts the code points of the new text.
     """
     prepare(docs.sparkSession)
     scanner, schema, names = Scanner(rules), docs.schema, docs.columns
@@ -146,7 +148,7 @@ def redacted(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
                 texts.append(b"".join([*out, data[at:]]).decode("utf-8", "replace") if out else old)
             columns = list(batch.columns)
             columns[names.index(text_col)] = pa.array(texts, pa.string())
-            if "n_chars" in names:
+            if "n_chars" in names and pa.types.is_integer(columns[names.index("n_chars")].type):
                 k = names.index("n_chars")
                 kept = columns[k].to_pylist()
                 columns[k] = pa.array([len(t) if c else n for t, c, n in zip(texts, changed, kept, strict=True)], columns[k].type)
