@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from mapweave.llm import quality as Q
-from mapweave.llm.urls import LISTED, RULES
+from mapweave.llm.urls import LISTED, MIRROR_PATHS, MIRRORS, NAMES, RULES, TOPS
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 DECONTAMINATE = f"""
-with shingled as (select 'd' as kind, doc_id as id, {_WORDS} as ws from documents union all select 'b', item_id, {_WORDS} from benchmark),
-s as (select distinct kind, id, array_to_string(ws[i:i + 4], ' ') as k from (select kind, id, ws, unnest(range(1, len(ws) - 3)) as i from shingled)),
-sizes as (select id, count(*) as n from s where kind = 'b' group by id)
-select d.id as doc_id, b.id as item_id, count(*) as n_shared, any_value(n) as n_shingles from s d join s b on d.k = b.k and d.kind = 'd' and b.kind = 'b' join sizes on sizes.id = b.id
-group by d.id, b.id having count(*) * 100 >= 80 * any_value(n)"""
+with items as (select item_id, {_WORDS} as ws from benchmark),
+texts as (select doc_id, {_WORDS} as ws from documents),
+lengths as (select distinct least(len(ws), 5) as k from items where len(ws) > 0),
+b as (select distinct item_id, k, array_to_string(ws[i:i + k - 1], ' ') as s from (select item_id, ws, least(len(ws), 5) as k, unnest(range(1, len(ws) - least(len(ws), 5) + 2)) as i from items where len(ws) > 0)),
+d as (select distinct doc_id, k, array_to_string(ws[i:i + k - 1], ' ') as s from (select doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) as i from texts, lengths)),
+sizes as (select item_id, count(*) as n from b group by item_id)
+select doc_id, item_id, count(*) as n_shared, any_value(n) as n_shingles from d join b using (k, s) join sizes using (item_id) group by doc_id, item_id having count(*) * 100 >= 80 * any_value(n)"""
 
 SUBSTRINGS = f"""
 with texts as (select doc_id, {_WORDS} as ws from documents),
@@ -25,12 +27,16 @@ select doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_r
 
 _FITS = [(what, host + path, f"((host = '{host}' or ends_with(host, '.{host}')) and starts_with(path, '{path}'))") for what, host, path in sorted(RULES, key=lambda r: -len(r[1] + r[2]))]
 _SITES = ", ".join(f"'{x.split('//')[1].rstrip('/')}'" for x in LISTED)
+_PATHS = ", ".join(f"'{x}'" for x in MIRROR_PATHS)
 URLS = f"""
-with split as (select page_id, url, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+with mirrors as (select name || '-' || k || '.example.' || top || '/' || [{_PATHS}][1 + k % {len(MIRROR_PATHS)}] || '/' || k || '/' as listed
+  from (select unnest([{", ".join(f"'{x}'" for x in NAMES)}]) as name), (select unnest([{", ".join(f"'{x}'" for x in TOPS)}]) as top), (select unnest(range({MIRRORS})) as k)),
+split as (select page_id, url, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
 hosts as (select page_id, rest, regexp_extract(rest, '^[^/?#]*') as raw from split),
 parts as (select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(substr(rest, len(raw) + 1), '^[^?#]*') as path from hosts)
 select page_id, host, path, case {" ".join(f"when {fits} then '{rule}'" for _, rule, fits in _FITS)} end as rule,
-  case {" ".join(f"when {fits} then '{what}'" for what, _, fits in _FITS)} when len(list_filter([{_SITES}], lambda s: host = s or ends_with(host, '.' || s))) > 0 then 'block' else 'allow' end as verdict from parts"""
+  case {" ".join(f"when {fits} then '{what}'" for what, _, fits in _FITS)} when len(list_filter([{_SITES}], lambda s: host = s or ends_with(host, '.' || s))) > 0
+  or regexp_replace(host, '^www[.]', '') || regexp_replace(path, '/+$', '') || '/' in (select listed from mirrors) then 'block' else 'allow' end as verdict from parts"""
 
 JACCARD = f"""
 with recursive texts as (select doc_id, {_WORDS} as ws from documents),
@@ -45,7 +51,7 @@ class as (select a as doc_id, min(b) as class_id from reach group by a)
 select doc_id, class_id, (select count(*) from links where links.a = class.doc_id) as n_links from class"""
 
 _SHARE = "case when {whole} > 0 then 1000 * {part} // {whole} else 0 end"
-_SHARES = {"symbols": ("n_symbols", "word_chars"), "repeats": ("n_repeat_words", "n_words"), "dup_lines": ("n_dup_lines", "n_words")}
+_SHARES = {"symbols": ("n_symbols", "word_chars"), "repeats": ("n_repeat_words", "n_words"), "dup_lines": ("n_dup_lines", "n_lines")}
 _BAR = "((v >> greatest(len(bin(v)) - 6, 0)) << greatest(len(bin(v)) - 6, 0))"
 _FENCES = " ".join(f"when '{k}' then {v}" for k, v in Q.FENCED.items())
 
@@ -63,7 +69,7 @@ covered as (select doc_id, max(twice) over (partition by doc_id order by j rows
 repeats as (select doc_id, sum(c)::bigint as n from covered group by doc_id),
 lines as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls from texts),
 stats as (select doc_id, lang, source, len(ws)::bigint as n_words, len(array_to_string(ws, ''))::bigint as word_chars, (len(text) - len(translate(text, '{Q.SYMBOLS}', '')))::bigint as n_symbols,
-  (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(n, 0)::bigint as n_repeat_words from texts join lines using (doc_id) left join repeats using (doc_id)),
+  (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(n, 0)::bigint as n_repeat_words, len(ls)::bigint as n_lines from texts join lines using (doc_id) left join repeats using (doc_id)),
 vals as (select lang, source, stat, v, {_BAR} as bar from ({" union all ".join(f"select lang, source, '{k}' as stat, {_SHARE.format(part=p, whole=w)} as v from stats" for k, (p, w) in _SHARES.items())})),
 levels as (select 2 as level, lang, source, stat, bar from vals union all select 1, lang, null, stat, bar from vals union all select 0, null, null, stat, bar from vals),
 bars as (select level, lang, source, stat, bar, count(*) as n from levels group by all),
@@ -71,5 +77,5 @@ sums as (select *, sum(n) over (partition by level, lang, source, stat order by
 fences as (select level, lang, source, stat, any_value(docs) as docs, {_quantile(75)} + {Q.SPREAD} * greatest({_quantile(75)} - {_quantile(25)}, case stat {_FENCES} end) as fence from sums group by level, lang, source, stat),
 judged as (select stats.*, {", ".join(f"{_SHARE.format(part=p, whole=w)} <= case when own_{k}.docs >= {Q.LEAST_DOCS} then own_{k}.fence when lang_{k}.docs >= {Q.LEAST_DOCS} then lang_{k}.fence else all_{k}.fence end as ok_{k}" for k, (p, w) in _SHARES.items())}
   from stats {" ".join(f"left join fences own_{k} on own_{k}.level = 2 and own_{k}.stat = '{k}' and own_{k}.lang is not distinct from stats.lang and own_{k}.source is not distinct from stats.source left join fences lang_{k} on lang_{k}.level = 1 and lang_{k}.stat = '{k}' and lang_{k}.lang is not distinct from stats.lang left join fences all_{k} on all_{k}.level = 0 and all_{k}.stat = '{k}'" for k in _SHARES)})
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {Q.LEAST_WORDS} or 100 * n_repeat_words > {Q.REPEATED_PERCENT} * n_words as base_failed,
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_words < {Q.LEAST_WORDS} or 100 * n_repeat_words > {Q.REPEATED_PERCENT} * n_words as base_failed,
   not (n_words < {Q.LEAST_WORDS} or 100 * n_repeat_words > {Q.REPEATED_PERCENT} * n_words) and ok_symbols and ok_repeats and ok_dup_lines as kept from judged"""

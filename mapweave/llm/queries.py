@@ -34,7 +34,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judged(table(spark, sf_dir, "pages"), urls.listed_sites(spark))
+    return urls.judged(table(spark, sf_dir, "pages"), urls.listed_urls(spark))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,9 +28,12 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: Sites listed in the registered query: the six advertising and spam names among the hosts of ``pages``,
-#: all that have a hyphen, under each top-level domain that occurs there.
-LISTED = tuple(f"http://{name}.example.{top}/" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
+#: The registered query's list. First sites: the six advertising and spam names among the hosts of ``pages``, all
+#: that have a hyphen, under each top-level domain that occurs there.
+NAMES, TOPS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"), ("com", "net", "org")
+LISTED = tuple(f"http://{name}.example.{top}/" for name in NAMES for top in TOPS)
+#: Then single pages, made by rule: of each site so many numbered mirrors, each with one path.
+MIRRORS, MIRROR_PATHS = 250, ("en/offer", "de/angebot", "fr/offre", "es/oferta")
 
 
 def with_parts(pages: DataFrame, url: str = "url", host: str = "host", path: str = "path") -> DataFrame:
@@ -84,9 +87,10 @@ def passed(asked: DataFrame, words: DataFrame, blocks: int) -> DataFrame:
 def judged(pages: DataFrame, listed: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """Per page: page_id, host, path, the longest rule that fits, and the verdict: the rule's, else the list's.
 
-    ``listed`` has a column ``url``. Null URLs and those without ``://`` have no host, fit no rule and are
-    allowed. Repeated pages are judged each; an empty list blocks nothing; an empty table gives an empty
-    result. Other columns are dropped. Of rules of equal length the first wins.
+    ``listed`` has a column ``url``. Null and empty URLs and those without ``://`` have no host, fit no rule and are
+    allowed; very long ones are judged whole. Repeated pages are judged each, null page ids too; an empty list blocks
+    nothing; an empty table gives an empty result. Other columns, whatever their names, are dropped. Of rules of equal
+    length the first wins.
     """
     split = with_parts(pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"))).select("page_id", "host", "path")
     entries = with_parts(listed.select(F.col("url"))).select(canonical(F.col("host"), F.col("path")).alias("key")).where(F.col("key").isNotNull()).distinct()
@@ -108,5 +112,10 @@ def judged(pages: DataFrame, listed: DataFrame, rules=RULES, page_id: str = "pag
     return joined.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
 
 
-def listed_sites(spark) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in LISTED], "url string")
+def listed_urls(spark) -> DataFrame:
+    """The registered query's list: the sites, and the pages of their numbered mirrors."""
+    sites = spark.createDataFrame([(x,) for x in LISTED], "url string")
+    names = spark.createDataFrame([(name, top) for name in NAMES for top in TOPS], "name string, top string")
+    paths = F.array(*(F.lit(p) for p in MIRROR_PATHS))
+    mirrors = names.select("name", "top", F.explode(F.sequence(F.lit(0), F.lit(MIRRORS - 1))).alias("k"))
+    return sites.union(mirrors.select(F.concat(F.lit("http://"), "name", F.lit("-"), "k", F.lit(".example."), "top", F.lit("/"), F.get(paths, F.col("k") % len(MIRROR_PATHS)), F.lit("/"), "k")))
