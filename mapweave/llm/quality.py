@@ -13,21 +13,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mapweave.llm.session import checkpointed
+from mapweave.llm.session import checkpointed, unused_prefix, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, REPEATED_PERCENT = 50, 50
 #: Statistics with a fence, in thousandths, and the least quartile distance that the fence assumes.
-FENCED = {"symbols": 10, "repeats": 100, "dup_lines": 50}
+FENCED = {"symbols": 10, "repeats": 100, "dup_lines": 150}
 SPREAD, LEAST_DOCS = 3, 100
 #: Groups whose thresholds are broadcast at most; more are joined by Spark's own choice.
 BROADCAST_GROUPS = 50_000
-STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
 def stats(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """The documents with the five statistics added, as longs named with ``prefix``; null texts have no words."""
+    """The documents with the statistics added, as longs named with ``prefix``; null texts have no words."""
     p = f"__{prefix}"
     trimmed = F.trim(F.coalesce(F.col(text_col), F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
     bare = F.coalesce(F.col(text_col), F.lit(""))
@@ -43,6 +43,7 @@ def stats(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFram
     out = out.withColumns({
         f"{prefix}n_words": F.size(words).cast("long"),
         f"{prefix}word_chars": F.length(F.array_join(words, "")).cast("long"),
+        f"{prefix}n_lines": F.size(f"{p}lines").cast("long"),
         f"{prefix}n_dup_lines": (F.size(f"{p}lines") - F.size(F.array_distinct(f"{p}lines"))).cast("long"),
         f"{p}hashes": F.when(
             F.size(words) >= 3,
@@ -68,7 +69,7 @@ def _shares(prefix: str = "") -> dict[str, Column]:
     """Thousandths, zero where there is nothing to share."""
     c = lambda name: F.col(f"{prefix}{name}")
     share = lambda part, whole: F.when(whole > 0, F.floor(1000 * part / whole)).otherwise(0).cast("long")
-    return {"symbols": share(c("n_symbols"), c("word_chars")), "repeats": share(c("n_repeat_words"), c("n_words")), "dup_lines": share(c("n_dup_lines"), c("n_words"))}
+    return {"symbols": share(c("n_symbols"), c("word_chars")), "repeats": share(c("n_repeat_words"), c("n_words")), "dup_lines": share(c("n_dup_lines"), c("n_lines"))}
 
 
 def bucket(value: Column) -> Column:
@@ -107,35 +108,46 @@ def fences(histograms: DataFrame, least_docs: int = LEAST_DOCS, spread: int = SP
     own, lang, every = of(2, "own"), of(1, "lang"), of(0, "every")
     joined = own.join(lang, F.col("own_lang").eqNullSafe(F.col("lang_lang")), "left").join(F.broadcast(every), F.lit(True), "left")  # one row
     pick = lambda k: F.when(F.col("own_docs") >= least_docs, F.col(f"own_{k}")).when(F.col("lang_docs") >= least_docs, F.col(f"lang_{k}")).otherwise(F.col(f"every_{k}"))
-    return joined.select(F.col("own_lang").alias("fence_lang"), F.col("own_source").alias("fence_source"), *(pick(k).alias(f"fence_{k}") for k in FENCED))
+    return joined.select(F.col("own_lang").alias("lang"), F.col("own_source").alias("source"), *(pick(k).alias(k) for k in FENCED))
 
 
 def judged(measured: DataFrame, prefix: str = "", lang: str = "lang", source: str = "source") -> DataFrame:
-    """Documents with statistics, with ``<prefix>base_failed`` and ``<prefix>kept`` added."""
-    limits = checkpointed(fences(checkpointed(sketches(measured, prefix, lang, source))))
+    """Documents with statistics, with ``<prefix>base_failed`` and ``<prefix>kept`` added; other columns stay as they are.
+
+    No column of ``measured`` but the statistics may begin with the prefix and ``fence_``.
+    """
+    p = f"{prefix}fence_"
+    limits = fences(checkpointed(sketches(measured, prefix, lang, source)))
+    limits = checkpointed(limits.select(*(F.col(c).alias(f"{p}{c}") for c in limits.columns)))
     if limits.count() <= BROADCAST_GROUPS:
         limits = F.broadcast(limits)
-    out = measured.join(limits, F.col(lang).eqNullSafe(F.col("fence_lang")) & F.col(source).eqNullSafe(F.col("fence_source")), "left")
+    out = measured.join(limits, F.col(lang).eqNullSafe(F.col(f"{p}lang")) & F.col(source).eqNullSafe(F.col(f"{p}source")), "left")
     within = F.lit(True)
     for k, share in _shares(prefix).items():
-        within = within & (share <= F.col(f"fence_{k}"))
+        within = within & (share <= F.col(f"{p}{k}"))
     # One expression over both sides of the join: a conjunct of the documents' own columns would be pushed
     # below it as a filter, where every use of a statistic would compute it again.
     kept = F.when(base_failed(prefix), F.lit(False)).otherwise(F.coalesce(within, F.lit(False)))
-    return out.withColumns({f"{prefix}base_failed": base_failed(prefix), f"{prefix}kept": kept}).drop("fence_lang", "fence_source", *(f"fence_{k}" for k in FENCED))
+    return out.withColumns({f"{prefix}base_failed": base_failed(prefix), f"{prefix}kept": kept}).drop(*(f"{p}{c}" for c in ("lang", "source", *FENCED)))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, the statistics, base_failed and kept; statistics are made once, without the text.
 
     Null, empty and blank texts have no words and fail. Null languages and sources are groups of their
-    own. Repeated rows are judged each, and count each; an empty table gives an empty result.
+    own. Repeated rows are judged each, and count each; a share equal to its fence is kept. Very long texts
+    are read whole. An empty table gives an empty result; columns of any other names change nothing.
     """
     measured = checkpointed(stats(docs.select("doc_id", "lang", "source", "text")).select("doc_id", "lang", "source", *STATS))
     return judged(measured).select("doc_id", *STATS, "base_failed", "kept")
 
 
 def passing(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with its columns; texts are read twice and never shuffled."""
-    own = "quality_rule_"
-    return judged(stats(docs, prefix=own), own).where(F.col(f"{own}kept")).select(*docs.columns)
+    """The rows of ``docs`` that are kept, with its columns and whatever their names.
+
+    The cases are those of ``report``. Statistics cost far more than reading, so they are made once and written
+    beside the documents; thresholds and the filter read that table. Texts are never shuffled.
+    """
+    own = unused_prefix("quality_rule_", docs)
+    measured = written(stats(docs, prefix=own))
+    return judged(measured, own).where(F.col(f"{own}kept")).select(*docs.columns)

@@ -47,7 +47,7 @@ def test_listed_urls(spark):
 def test_every_site_of_the_kind_is_listed(spark, sf):
     """All hosts with a hyphen are sites of this kind; one that no rule fits is blocked by the list."""
     for part in (sf, sf.replace("0.001", "0.01"), sf.replace("0.001", "0.1")):
-        rows = urls.judged(spark.read.parquet(f"{part}/pages.parquet"), urls.listed_sites(spark)).where(F.col("rule").isNull()).collect()
+        rows = urls.judged(spark.read.parquet(f"{part}/pages.parquet"), urls.listed_urls(spark)).where(F.col("rule").isNull()).collect()
         hosts = {r.host for r in rows if "-" in r.host}
         assert hosts and all((r.verdict == "block") == (r.host in hosts) for r in rows)
 
@@ -58,6 +58,27 @@ def test_list_of_many_blocks(spark):
     assert [v for *_, v in judged(spark, rows, listed)] == ["block" if i < 1000 else "allow" for _ in range(2) for i in range(0, 2000, 50)]
 
 
+def test_registered_list_has_pages_and_sites(spark):
+    """Thousands of listed pages: their own URLs are blocked in any spelling, others of the same host are not."""
+    listed = urls.listed_urls(spark)
+    assert listed.distinct().count() == len(urls.LISTED) + len(urls.NAMES) * len(urls.TOPS) * urls.MIRRORS > 4000
+    pages = spark.createDataFrame([(1, "https://www.CASINO-win-7.example.net/es/oferta/7/?x=1"), (2, "http://casino-win-7.example.net/es/oferta/8"), (3, "http://casino-win-7.example.net/"), (4, "http://x.casino-win.example.net/any")], "page_id long, url string")
+    got = urls.judged(pages.withColumns({"key": F.lit(1), "block": F.lit(2), "hit_host": F.lit("z"), "w0": F.lit(3)}), listed, rules=())
+    assert [r.verdict for r in got.orderBy("page_id").collect()] == ["block", "allow", "allow", "block"]
+
+
+def test_filter_removes_most_and_the_join_the_rest(spark, sf):
+    """Of the registered query's keys few pass by chance, and none of those is blocked."""
+    sf = sf.replace("0.001", "0.1")
+    entries = urls.with_parts(urls.listed_urls(spark)).select(urls.canonical(F.col("host"), F.col("path")).alias("key"))
+    blocks = -(-entries.count() * urls.BITS_PER_KEY // 512)
+    asked = urls.with_parts(spark.read.parquet(f"{sf}/pages.parquet").select("url")).where("host <> ''").select(F.explode(urls.keys(F.col("host"), F.col("path"))).alias("key")).distinct()
+    passed = urls.passed(asked, urls.bloom(entries, blocks), blocks)
+    n, maybe, sure = asked.count(), passed.count(), passed.join(entries, "key", "left_semi").count()
+    print(f"{n} keys, {maybe} pass the filter, {maybe - sure} of them by chance")
+    assert blocks > 100 and 0 < sure <= maybe <= sure + 0.01 * n
+
+
 def test_filter_passes_every_listed_key_and_few_others(spark):
     listed = spark.range(2000).select(F.concat(F.lit("k"), F.col("id")).alias("key"))
     blocks = 2000 * urls.BITS_PER_KEY // 512
@@ -73,7 +94,7 @@ def brute_stats(text):
     for i in range(len(w) - 2):
         if times[tuple(w[i : i + 3])] > 1:
             covered[i : i + 3] = [1] * 3
-    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), sum(covered)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), sum(covered), len(lines)
 
 
 def test_statistics(docs, plain, edge):
