@@ -21,27 +21,31 @@ import hashlib
 import heapq
 import pickle
 import re
+from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mapweave.llm.blocks import deflate, deflate_sorted, inflate, inflate_sorted
-from mapweave.llm.session import documents, prepare, shuffle_partitions
+from mapweave.llm.session import documents, prepare, shuffle_partitions, stable
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a word that fit a mask; bytes of text a block has; pieces that are broadcast at most.
-MASK, BLOCK_BYTES, BROADCAST_PIECES = 62, 16 << 20, 1_000_000
+MASK, BLOCK_BYTES, BROADCAST_PIECES = 62, 12 << 20, 1_000_000
+#: Bits of a key that number a block's words, and of those above that number a partition's blocks.
+WORD_BITS, PLACE_BITS = 22, 18
 #: In an edge's id: the character itself, which no piece covers.
 UNKNOWN = 1 << 23
 SPACE = "▁"
 #: Partitions of words for one of documents: a word's edges take many times its own space.
 WORD_PARTITIONS = 8
-#: Answers packed together at most.
-PACKED = 200_000
+#: Answers packed together, words asked for in one batch, and pieces cut into words at once, at most.
+PACKED, WORDS_AT_ONCE, PIECES_AT_ONCE = 200_000, 50_000, 50_000
 RESULT = "doc_id long, ids array<int>, text_sha256 string"
 
 
@@ -111,94 +115,107 @@ class Model:
         return [hit[1]] if hit else [self.bytes[b] for b in symbol.encode()]
 
 
-def _own_way(word: str) -> bool:
-    return word == "\n" or len(word) > MASK or word.startswith("  ")
-
-
 def _spaced(text: str) -> bool:
     return "  " in text or text[0] in (" ", SPACE) or SPACE in text
 
 
 def _blocks(batches):
-    """(ids, texts) of at most so many bytes, or of one longer text; with the number of the partition and block."""
-    base, made, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
+    """(place, ids, texts) of at most so many bytes, or of one longer text.
+
+    A place counts on from the partition's; it leaves room for the numbers of the block's words below it.
+    """
+    made, ids, texts, size = TaskContext.get().partitionId() << PLACE_BITS, [], [], 0
     for batch in batches:
         for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
             ids.append(i)
             texts.append(t.decode("utf-8", "replace") if t else None)
             size += len(t or b"")
             if size >= BLOCK_BYTES:
-                yield (base, made), ids, texts
+                yield made << WORD_BITS, ids, texts
                 made, ids, texts, size = made + 1, [], [], 0
     if ids:
-        yield (base, made), ids, texts
-
-
-class _Words:
-    """The distinct words of a block, sorted; those that go their own way apart."""
-
-    def __init__(self, place: tuple[int, int], ids: list, texts: list[str | None], find) -> None:
-        between, found = set(), set()
-        for text in texts:
-            if text:
-                if _spaced(text):
-                    found.update(find(" " + text.replace(SPACE, " ")))
-                else:
-                    between.update(text.split(" "))
-        for piece in between:
-            found.update(find(" " + piece))
-        self.words = sorted(w for w in found if not _own_way(w))
-        self.others = sorted(w for w in found if _own_way(w))
-        digest = xxhash.xxh3_64(str((place, ids)).encode())
-        digest.update("\n".join(self.words).encode("utf-8", "surrogatepass"))
-        #: Follows from the content, so that two passes that saw different rows can't be mixed up.
-        self.key = digest.intdigest() >> 24 << 23 & (1 << 63) - 1
-
-
-def _packed(words: _Words, ids: list, texts: list[str | None], find) -> bytes:
-    """The documents as numbers of words, the most frequent ones small, and what each number stands for."""
-    number = {w: i for i, w in enumerate([*words.words, *words.others])}
-    known: dict[str, tuple[int, ...]] = {}
-    rows = []
-    for text in texts:
-        row: list[int] = []
-        if text and _spaced(text):
-            row = [number[w] for w in find(" " + text.replace(SPACE, " "))]
-        elif text:
-            for piece in text.split(" "):
-                hit = known.get(piece)
-                if hit is None:
-                    hit = known[piece] = tuple(number[w] for w in find(" " + piece))
-                row += hit
-        rows.append(np.array(row, np.uint32))
-    flat = np.concatenate([np.empty(0, np.uint32), *rows]).astype(np.uint32)
-    order = np.argsort(-np.bincount(flat, minlength=len(number)), kind="stable").astype(np.uint32)
-    rank = np.empty(len(number), np.uint32)
-    rank[order] = np.arange(len(number), dtype=np.uint32)
-    digests = b"".join(hashlib.sha256((t or "").encode()).digest() for t in texts)
-    return pickle.dumps((ids, digests, deflate(np.array([len(r) for r in rows], np.int64)), deflate(rank[flat], 3), deflate(order), len(words.words), words.others))
+        yield made << WORD_BITS, ids, texts
+
+
+class _Block:
+    """The distinct words of a block, numbered in their order, and its documents as such numbers."""
+
+    def __init__(self, place: int, ids: list, texts: list[str | None], find) -> None:
+        plain = [t if t and not _spaced(t) else None for t in texts]
+        self.odd = [k for k, t in enumerate(texts) if t and plain[k] is None]
+        split = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        self.counts = pc.list_value_length(split).fill_null(0).to_numpy().astype(np.int64)
+        coded = pc.dictionary_encode(pc.list_flatten(split))
+        del plain, split
+        self.indices, pieces, sizes, words = coded.indices.to_numpy(), coded.dictionary, [], []
+        odd = (" " + texts[k].replace(SPACE, " ") for k in self.odd)
+        for at in range(0, len(pieces), PIECES_AT_ONCE):
+            self._cut((" " + p for p in pieces.slice(at, PIECES_AT_ONCE).to_pylist()), find, sizes, words)
+        self._cut(odd, find, sizes, words)
+        self.n_pieces, self.sizes = len(pieces), np.concatenate(sizes)
+        words = pc.dictionary_encode(pa.chunked_array(words, pa.string())).combine_chunks()
+        order = pc.sort_indices(words.dictionary)  # neighbours share their beginnings, which compress
+        rank = np.empty(len(order), np.int32)
+        rank[order.to_numpy()] = np.arange(len(order), dtype=np.int32)
+        self.at, self.words = rank[words.indices.to_numpy()], words.dictionary.take(order)
+        own_way = pc.or_(pc.or_(pc.equal(self.words, "\n"), pc.starts_with(self.words, "  ")), pc.greater(pc.utf8_length(self.words), MASK))
+        own_way = own_way.to_numpy(zero_copy_only=False).copy()
+        own_way[1 << WORD_BITS :] = True  # more words than a block can number are in no text under 8 MB
+        #: Numbers of the words that are asked for, and of those that go their own way.
+        self.asked, self.others = np.flatnonzero(~own_way), np.flatnonzero(own_way)
+        self.place, self.ids, self.digests = place, ids, b"".join(hashlib.sha256((t or "").encode()).digest() for t in texts)
+
+    @staticmethod
+    def _cut(texts, find, sizes: list, words: list) -> None:
+        found = [find(t) for t in texts]
+        sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+        words.append(pa.array(chain.from_iterable(found), pa.string()))
+
+    def packed(self) -> bytes:
+        """The documents as numbers of words, the most frequent ones small, and what each number stands for."""
+        alone = np.zeros(len(self.counts), np.int64)
+        alone[self.odd] = 1
+        starts = np.concatenate([[0], np.cumsum(self.counts + alone)])
+        of, here = np.empty(int(starts[-1]), np.int32), np.ones(int(starts[-1]), bool)  # per text its pieces, or itself
+        here[starts[self.odd]] = False
+        of[here], of[~here] = self.indices, self.n_pieces + np.arange(len(self.odd))
+        begin, flat = np.concatenate([[0], np.cumsum(self.sizes)])[:-1], []
+        for low in range(0, len(of), PIECES_AT_ONCE):
+            some = of[low : low + PIECES_AT_ONCE]
+            sizes = self.sizes[some]
+            after = np.cumsum(sizes)
+            flat.append(self.at[np.repeat(begin[some] - (after - sizes), sizes) + np.arange(int(after[-1]))])
+        lengths = np.diff(np.concatenate([[0], np.cumsum(self.sizes[of])])[starts])
+        flat = np.concatenate([np.empty(0, np.int32), *flat])
+        del of, here, starts
+        order = np.argsort(-np.bincount(flat, minlength=len(self.words)), kind="stable").astype(np.uint32)
+        rank = np.empty(len(self.words), np.uint32)
+        rank[order] = np.arange(len(self.words), dtype=np.uint32)
+        others = {int(k): self.words[k].as_py() for k in self.others}
+        return pickle.dumps((self.ids, self.digests, deflate(lengths), deflate(rank[flat], 3), deflate(order), others))
 
 
 def _pack_answers(batches):
-    """Rows (block, number, ids, word) of one partition as few packed rows per block."""
+    """Rows (key, ids, word) of one partition as few packed rows per block."""
     held: list[pa.RecordBatch] = []
 
     def flush():
         table = pa.Table.from_batches(held).combine_chunks()
-        block, number = table["block"].to_numpy(), table["number"].to_numpy()
+        key = table["key"].to_numpy()
         lists = table["ids"].chunk(0) if table["ids"].num_chunks else table["ids"].combine_chunks()
         starts, values = np.asarray(lists.offsets).astype(np.int64), np.asarray(lists.values)
-        again = {i: table["word"][i].as_py() for i in np.flatnonzero(table["word"].is_valid().to_numpy()).tolist()}
-        order = np.lexsort((number, block))
-        edges = np.flatnonzero(np.diff(block[order], prepend=block[order[0]] - 1))
+        again = {int(key[i]): table["word"][i].as_py() for i in np.flatnonzero(table["word"].is_valid().to_numpy()).tolist()}
+        order = np.argsort(key)
+        block = key[order] >> WORD_BITS
+        edges = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
         for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
-            rows = order[a:b]
+            rows, place = order[a:b], int(block[a]) << WORD_BITS
             sizes = starts[rows + 1] - starts[rows]
             after = np.cumsum(sizes)
             ids = values[np.repeat(starts[rows] - (after - sizes), sizes) + np.arange(int(sizes.sum()))]
-            mine = {int(number[i]): w for i, w in again.items() if block[i] == block[rows[0]]}
-            packed = pickle.dumps((deflate_sorted(number[rows].astype(np.uint32)), deflate(sizes.astype(np.uint32)), deflate(ids.astype(np.uint32)), mine))
-            yield pa.RecordBatch.from_arrays([pa.array([int(block[rows[0]])], pa.int64()), pa.array([packed], pa.binary())], names=["block", "answers"])
+            mine = {k - place: w for k, w in again.items() if k >> WORD_BITS << WORD_BITS == place}
+            packed = pickle.dumps((deflate_sorted((key[rows] - place).astype(np.uint32)), deflate(sizes.astype(np.uint32)), deflate(ids.astype(np.uint32)), mine))
+            yield pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), pa.array([packed], pa.binary())], names=["block", "answers"])
 
     for batch in batches:
         if batch.num_rows:
@@ -251,65 +268,71 @@ def lattice(words: DataFrame, model: Model) -> DataFrame:
 def encoded(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """Per document: doc_id, the ids of its pieces, and the SHA-256 of its text.
 
-    Null and empty texts have no pieces. Rows are encoded each, also with equal ids; an empty table gives
-    an empty result; other columns are dropped. The model's own sign for a space, in a text, is encoded as
-    one, as the library does, so only there decoding gives another text. Blocks hold a fixed number of bytes, or one longer text.
+    Null and empty texts have no pieces; blank ones have those of their characters. Rows are encoded each, also with
+    equal ids or texts and null ids; an empty table gives an empty result; other columns, whatever their names, are
+    dropped. Very long texts are encoded whole. The model's own sign for a space, in a text, is encoded as one, as the
+    library does, so only there decoding gives another text. Blocks hold a fixed number of bytes, or one longer text.
     """
-    spark, model = docs.sparkSession, model or Model()
+    return _encoded(docs, model or Model(), _as_ids, RESULT)
+
+
+def _encoded(docs: DataFrame, model: Model, finish: Callable, schema: str) -> DataFrame:
+    """``finish(doc_ids, bounds, pieces, digests)`` of all documents, a thousand at a time, as rows of the schema."""
+    spark = docs.sparkSession
     prepare(spark)
-    docs, n = documents(docs), WORD_PARTITIONS * shuffle_partitions(spark)
+    docs, n = stable(documents(docs)), WORD_PARTITIONS * shuffle_partitions(spark)
 
     find = model.words.findall
 
     def ask(batches):
         for place, ids, texts in _blocks(batches):
-            block = _Words(place, ids, texts, find)
-            for at in range(0, len(block.words), 50_000):
-                some = block.words[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array(np.arange(at, at + len(some)) + block.key, pa.int64())], names=["word", "key"])
+            block = _Block(place, ids, texts, find)
+            for at in range(0, len(block.asked), WORDS_AT_ONCE):
+                some = block.asked[at : at + WORDS_AT_ONCE]
+                yield pa.RecordBatch.from_arrays([block.words.take(pa.array(some)), pa.array(some + place, pa.int64())], names=["word", "key"])
 
     def pack(batches):
         for place, ids, texts in _blocks(batches):
-            block = _Words(place, ids, texts, find)
-            yield pa.RecordBatch.from_arrays([pa.array([block.key], pa.int64()), pa.array([_packed(block, ids, texts, find)], pa.binary())], names=["block", "docs"])
+            yield pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), pa.array([_Block(place, ids, texts, find).packed()], pa.binary())], names=["block", "docs"])
 
-    asked = docs.mapInArrow(ask, "word string, key long").where(F.col("word").isNotNull() & F.col("key").isNotNull()).repartition(n, "word")
+    asked = docs.mapInArrow(ask, "word string, key long").where("word is not null and key is not null").repartition(n, "word")
     # Both uses read the same columns of the same exchange, which therefore runs once.
-    known = lattice(asked.groupBy("word").agg(F.min("key").alias("key")).where(F.col("key").isNotNull()).select("word"), model)
-    answers = asked.join(known, "word").select(F.col("key").bitwiseAND(~((1 << 23) - 1)).alias("block"), F.col("key").bitwiseAND((1 << 23) - 1).cast("int").alias("number"), "ids", F.when(F.col("again"), F.col("word")).alias("word"))
+    known = asked.groupBy("word").agg(F.min("key").alias("key")).where("key is not null").select("word")
+    answers = asked.join(lattice(known, model).hint("shuffle_hash"), "word").select("key", "ids", F.when(F.col("again"), F.col("word")).alias("word"))
     answers = answers.mapInArrow(_pack_answers, "block long, answers binary")
     blocks = docs.mapInArrow(pack, "block long, docs binary")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows != 1:
             raise RuntimeError("two passes over the documents saw different rows")
-        ids, digests, lengths, flat, order, n_words, others = pickle.loads(left["docs"][0].as_py())
+        ids, digests, lengths, flat, order, others = pickle.loads(left["docs"][0].as_py())
+        order = inflate(order, np.uint32)
         answered = [pickle.loads(x) for x in right["answers"].to_pylist()]
         number = np.concatenate([np.empty(0, np.uint32), *(inflate_sorted(x[0], np.uint32) for x in answered)]).astype(np.int64)
         sizes = np.concatenate([np.empty(0, np.uint32), *(inflate(x[1], np.uint32) for x in answered)]).astype(np.int64)
         values = np.concatenate([np.empty(0, np.uint32), *(inflate(x[2], np.uint32) for x in answered)]).astype(np.int32)
-        if len(number) != n_words:
+        if len(number) + len(others) != len(order):
             raise RuntimeError("two passes over the documents saw different rows")
         starts, redo = np.concatenate([[0], np.cumsum(sizes)]), {}
         for row in np.unique(np.searchsorted(starts, np.flatnonzero(values >= UNKNOWN), "right") - 1).tolist():
             redo[int(number[row])] = [i for v in values[starts[row] : starts[row + 1]].tolist() for i in ([v] if v < UNKNOWN else [model.bytes[b] for b in chr(v - UNKNOWN).encode()])]
         for x in answered:
             redo |= {k: model.merged(w) for k, w in x[3].items()}
-        redo |= {n_words + i: model.merged(w) if w != "\n" else [model.bytes[10]] for i, w in enumerate(others)}
-        begin, size = np.zeros(n_words + len(others), np.int64), np.zeros(n_words + len(others), np.int64)
+        redo |= {k: model.merged(w) if w != "\n" else [model.bytes[10]] for k, w in others.items()}
+        begin, size = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
         begin[number], size[number] = starts[:-1], sizes
         more = np.array([i for x in redo.values() for i in x], np.int32)
         where = np.cumsum([0, *(len(x) for x in redo.values())])
         for k, word in enumerate(redo):
             begin[word], size[word] = len(values) + where[k], len(redo[word])
         values = np.concatenate([values, more])
-        sequence, counts = inflate(order, np.uint32)[inflate(flat, np.uint32)], inflate(lengths, np.int64)
-        return pa.concat_tables(_assembled(ids, digests, counts, sequence, begin, size, values)).combine_chunks()
+        sequence, counts = order[inflate(flat, np.uint32)], inflate(lengths, np.int64)
+        return pa.concat_tables(_assembled(ids, digests, counts, sequence, begin, size, values, finish)).combine_chunks()
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, RESULT)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, schema)
 
 
-def _assembled(ids, digests, counts, sequence, begin, size, values):
+def _assembled(ids, digests, counts, sequence, begin, size, values, finish):
     """The documents of a block with the ids of their pieces, a thousand at a time."""
     ends = np.concatenate([[0], np.cumsum(counts)])
     for a in range(0, len(ids), 1000):
@@ -319,7 +342,12 @@ def _assembled(ids, digests, counts, sequence, begin, size, values):
         after = np.cumsum(sizes)
         pieces = values[np.repeat(begin[some] - (after - sizes), sizes) + np.arange(int(sizes.sum()))]
         bounds = np.concatenate([[0], after])[ends[a : b + 1] - ends[a]]
-        yield pa.table({"doc_id": pa.array(ids[a:b], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(pieces, pa.int32())), "text_sha256": pa.array([digests[32 * i : 32 * i + 32].hex() for i in range(a, b)], pa.string())})
+        yield finish(ids[a:b], bounds, pieces, [digests[32 * i : 32 * i + 32].hex() for i in range(a, b)])
+
+
+def _as_ids(ids, bounds, pieces, digests) -> pa.Table:
+    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(pieces, pa.int32()))
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), "ids": lists, "text_sha256": pa.array(digests, pa.string())})
 
 
 def _lists(column: pa.Array) -> list[list[int]]:
@@ -336,7 +364,11 @@ def decoded_text(ids: list[int], raw: list[bytes]) -> str:
 
 
 def decoded(encodings: DataFrame, model: Model | None = None) -> DataFrame:
-    """Per row of (doc_id, ids): doc_id and the text; null ids give the empty text."""
+    """Per row of (doc_id, ids): doc_id and the text.
+
+    Null and empty ids give the empty text; null doc_ids and repeated rows are decoded each; an empty table gives an
+    empty result; other columns, whatever their names, are dropped. Bytes that are no UTF-8 become the replacement sign.
+    """
     raw = (model or Model()).raw
 
     def run(batches):
@@ -347,15 +379,21 @@ def decoded(encodings: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """Per document: doc_id, n_pieces, SHA-256 of the ids as 32-bit little-endian numbers, and whether decoding gives the text again."""
-    model = model or Model()
-    raw = model.raw
-
-    def run(batches):
-        for batch in batches:
-            rows = _lists(batch["ids"])
-            same = [hashlib.sha256(decoded_text(x, raw).encode()).hexdigest() == d for x, d in zip(rows, batch["text_sha256"].to_pylist(), strict=True)]
-            hashes = [hashlib.sha256(np.array(x, "<i4").tobytes()).hexdigest() for x in rows]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(x) for x in rows], pa.int64()), pa.array(hashes, pa.string()), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids_sha256", "round_trip"])
+    """Per document: doc_id, n_pieces, SHA-256 of the ids as 32-bit little-endian numbers, and whether decoding gives the text again.
 
-    return encoded(docs, model).mapInArrow(run, "doc_id long, n_pieces long, ids_sha256 string, round_trip boolean")
+    The cases are those of ``encoded``; null and empty texts have 0 pieces and decode to the empty text.
+    """
+    model = model or Model()
+    raw = pa.array(model.raw, pa.binary())
+
+    def digest(ids, bounds, pieces, digests) -> pa.Table:
+        back = raw.take(pa.array(pieces))
+        starts, data = np.asarray(back.buffers()[1]).view(np.int32), back.buffers()[2] or b""
+        data, at = memoryview(data), starts[: len(pieces) + 1][bounds].tolist()
+        texts = [data[a + (a < b and data[a] == 32) : b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        numbers = pieces.astype("<i4")
+        hashes = [hashlib.sha256(numbers[a:b].tobytes()).hexdigest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        same = [hashlib.sha256(t).hexdigest() == d for t, d in zip(texts, digests, strict=True)]
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_pieces": pa.array(np.diff(bounds), pa.int64()), "ids_sha256": pa.array(hashes, pa.string()), "round_trip": pa.array(same, pa.bool_())})
+
+    return _encoded(docs, model, digest, "doc_id long, n_pieces long, ids_sha256 string, round_trip boolean")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import uuid
@@ -52,6 +53,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """The rows such that several reads give the same ones in the same order: of files or a checkpoint as they are, else checkpointed."""
+    lines = df._jdf.queryExecution().analyzed().toString().splitlines()
+    nodes = {re.sub(r"^[\s:+-]*", "", line).split(" ")[0].split("[")[0] for line in lines if line.strip()}
+    return df if nodes <= {"Project", "Filter", "Relation", "SubqueryAlias", "View", "LogicalRDD", "LocalRelation"} else checkpointed(df)
+
+
 def attached(rows: DataFrame, table: DataFrame, on: list[str], salt_by: str, how: str = "left") -> DataFrame:
     """``rows`` joined with a table that has each key once; many rows of one key are dealt to ``SALTS`` tasks."""
     salt = unused("salt", rows, table)
