@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from mapweave.llm.session import checkpointed, documents, prepare
+from mapweave.llm.session import documents, prepare, stable
 from mapweave.llm.words import U
 
 #: Bytes of text in a block, and per key bucket.
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 24 << 20
-BLOCKS = "block long, n_bytes long, docs binary"
+BLOCKS = "block long, docs binary"
 REQUESTS = "bucket long, block long, part int, keys binary"
 
 
@@ -51,9 +51,14 @@ def inflate_sorted(b: bytes, kind=U) -> np.ndarray:
     return np.cumsum(inflate(b, kind), dtype=kind)
 
 
-def packed(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents as a checkpointed table of blocks (block, n_bytes, docs); unpack one with ``unpacked``."""
+def packed(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+    """The documents as blocks (block, docs), to be unpacked with ``unpacked``, and the bytes of all texts.
+
+    Blocks are not written: packing again costs less than moving texts to disk and back.
+    """
     prepare(docs.sparkSession)
+    docs = stable(documents(docs))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, held, held_bytes, made = TaskContext.get().partitionId() << 32, [], 0, 0
@@ -62,7 +67,7 @@ def packed(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_table(pa.Table.from_batches(held).combine_chunks())
-            return pa.RecordBatch.from_pydict({"block": pa.array([base + made], pa.int64()), "n_bytes": pa.array([held_bytes], pa.int64()), "docs": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+            return pa.RecordBatch.from_pydict({"block": pa.array([base + made], pa.int64()), "docs": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
         for batch in batches:
             batch = batch.select(["doc_id", "text"]).cast(pa.schema([("doc_id", pa.int64()), ("text", pa.large_binary())]))
@@ -80,7 +85,7 @@ def packed(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         if held:
             yield block()
 
-    return checkpointed(documents(docs).mapInArrow(pack, BLOCKS))
+    return docs.mapInArrow(pack, BLOCKS), total
 
 
 def unpacked(block: bytes) -> tuple[list[int | None], list[bytes | None]]:
@@ -88,9 +93,9 @@ def unpacked(block: bytes) -> tuple[list[int | None], list[bytes | None]]:
     return table["doc_id"].to_pylist(), table["text"].to_pylist()
 
 
-def bucket_count(blocks: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
+def bucket_count(total: int, bucket_bytes: int = BUCKET_BYTES) -> int:
     """Key buckets in proportion to the corpus, so that a bucket's share stays the same at every size."""
-    return max(8, -(-int(blocks.agg(F.sum("n_bytes")).first()[0] or 0) // bucket_bytes))
+    return max(8, -(-total // bucket_bytes))
 
 
 def bucket_bounds(sorted_keys: np.ndarray, n: int, bits: int = 64) -> np.ndarray:

@@ -19,7 +19,6 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from mapweave.llm import blocks as B
 from mapweave.llm.session import checkpointed
@@ -83,10 +82,8 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, block_bytes: int = B.BLO
     nothing from each other; a null id counts as larger than every other id. An empty table gives an
     empty result, and other columns are dropped.
     """
-    packed = B.packed(docs, block_bytes)
-    n = B.bucket_count(packed, bucket_bytes)
-    total = int(packed.agg(F.sum("n_bytes")).first()[0] or 1)
-    bits = min(64, total.bit_length() + SPARE_BITS)
+    packed, total = B.packed(docs, block_bytes)
+    n, bits = B.bucket_count(total, bucket_bytes), min(64, max(1, total).bit_length() + SPARE_BITS)
 
     def probe(block: bytes):
         a = _Anchors(block, window, bits)
