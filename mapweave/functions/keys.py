@@ -76,6 +76,15 @@ def salted(key: Column, modulus: int) -> Column:
     return F.concat(F.lpad(salt(key, modulus).cast("string"), len(str(modulus - 1)), "0"), F.lit(":"), key)
 
 
+def row_key(key: str, modulus: int) -> tuple[int, str]:
+    """Salt and salted key of one text on the driver: literals, which a read can prune and push."""
+    h = 0
+    for c in key:
+        h = (h * 31 + ord(c)) & 0xFFFFFFFF
+    number = (h & 0xFFFFFFF) % modulus
+    return number, f"{number:0{len(str(modulus - 1))}d}:{key}"
+
+
 def salt_from(row_key: Column) -> Column:
     return F.try_to_number(F.split_part(row_key, F.lit(":"), F.lit(1)), F.lit("999999999")).cast("int")
 

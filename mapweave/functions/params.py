@@ -13,6 +13,8 @@ LAYERS = {
     "SP": ("PRESERVED_SPECIMEN",),
     "OTH": ("MATERIAL_CITATION", "MATERIAL_SAMPLE", "OCCURRENCE", "LITERATURE", "UNKNOWN"),
 }
+#: The ranges of years that stand for all years.
+WHOLE_RANGES = ((0, 2030), (1900, 2020))
 V1_TYPES = {"TAXON": "taxonKey", "DATASET": "datasetKey", "PUBLISHER": "publishingOrg", "COUNTRY": "country", "PUBLISHING_COUNTRY": "publishingCountry"}
 
 
@@ -68,7 +70,7 @@ def v1_map_key(kind: str, key: str, checklist: str = BACKBONE) -> str:
 def v1_layers(layers: list[str]) -> tuple[set[str], tuple[int, int] | None]:
     """Bases of record and years that layers like ``OBS_1950_1960`` stand for; no bases and no years mean all.
 
-    Years must be the same for each kind of layer. Undated records go with the whole range only.
+    Years must be the same for each kind of layer. Undated records go with a whole range only (``WHOLE_RANGES``).
     """
     bases: set[str] = set()
     spans: dict[str, tuple[int, int]] = {}
@@ -96,7 +98,7 @@ def v1_layers(layers: list[str]) -> tuple[set[str], tuple[int, int] | None]:
     if any(k not in spans for k in kinds):
         span = None
     if span and undated:
-        if span not in ((0, 2030), (1900, 2020)):
+        if span not in WHOLE_RANGES:
             raise ValueError("undated records can't be shown beside a range of years")
         span = None
     return bases, span

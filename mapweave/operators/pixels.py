@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapweave.functions import keys as K
@@ -46,8 +46,15 @@ def dictionary(keys: DataFrame) -> DataFrame:
     return keys.select("mapKey").distinct().select("mapKey", (F.row_number().over(Window.orderBy("mapKey")) - 1).cast("int").alias("code"))
 
 
+def hemisphere(epsg: str) -> Column:
+    """A comparison on the bare latitude, which reaches the scan: what a polar map can show, and a degree more."""
+    lat = F.col("decimalLatitude")
+    return lat > -1 if epsg == "EPSG:3575" else lat < 1 if epsg == "EPSG:3031" else F.lit(True)
+
+
 def pixels(rows: DataFrame, epsg: str, tile_size: int = 512, zoom: int = MAX_ZOOM) -> DataFrame:
     """(mapKey, x, y, borYear, occCount) at one zoom; records off the map or of an unknown basis are left out."""
+    rows = rows.where(hemisphere(epsg))
     at = pixel(epsg, tile_size, zoom, F.col("decimalLatitude"), F.col("decimalLongitude"))
     placed = rows.select("mapKey", at.alias("xy"), K.encode_bor_year(F.col("basisOfRecord"), F.col("year")).alias("borYear"))
     placed = placed.where(F.col("xy").isNotNull() & F.col("borYear").isNotNull()).select("mapKey", F.col("xy.x").alias("x"), F.col("xy.y").alias("y"), "borYear")

@@ -20,7 +20,7 @@ def tiles(levels: DataFrame, epsg: str, size: int = 512, buffer: int = 64) -> Da
 
 
 def one_tile(prepared: DataFrame, key: str, z: int, x: int, y: int) -> DataFrame:
-    """Rows of a stored tile; all four are columns of the layout, so the read is pruned to it."""
+    """Rows of one tile among rows of many; of a written layout ``store.stored_tile`` reads one folder only."""
     return prepared.where((F.col("mapKey") == key) & (F.col("z") == z) & (F.col("tileX") == x) & (F.col("tileY") == y))
 
 
@@ -34,6 +34,14 @@ def point_tile(listed: DataFrame, key: str, epsg: str, z: int, x: int, y: int, s
     return unpacked(rows.select("mapKey", F.lit(z).alias("z"), F.lit(x).alias("tileX"), F.lit(y).alias("tileY"), px.alias("pixelX"), py.alias("pixelY"), "borYear", "occCount"))
 
 
+def from_points(listed: DataFrame, epsg: str, z: int, size: int = 512, buffer: int = 64) -> DataFrame:
+    """Rows of all tiles of a zoom made from point lists, without a pyramid."""
+    lat, lng = F.col("lat"), F.col("lng")
+    gx, gy = global_xy(epsg, size, z, lat, lng)
+    placed = listed.where(plottable(epsg, lat, lng)).select("mapKey", F.lit(z).alias("z"), gx.cast("int").alias("x"), gy.cast("int").alias("y"), "borYear", "occCount")
+    return tiles(placed.groupBy("mapKey", "z", "x", "y", "borYear").agg(F.sum("occCount").alias("occCount")), epsg, size, buffer)
+
+
 def in_years(year: Column, low: int | None, high: int | None) -> Column:
     """Inclusive, open where an end is None; a null year passes only an unbounded range."""
     out = F.lit(True)

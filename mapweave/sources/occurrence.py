@@ -54,3 +54,13 @@ def base_filter(occurrences: DataFrame) -> DataFrame:
 
 def mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base_filter(fixture(spark, sf_dir))
+
+
+#: Events as records on a map, in SQL that both engines read: place from the user and the event, year from the time.
+EVENTS_SQL = """select event_type as basisOfRecord, (user_id * 37 % 151) - 75 + (event_id % 21 - 10) / cast(8 as double) + cast('0.0137' as double) as decimalLatitude,
+  (user_id * 83 % 355) - 178 + ((event_id * 13 + user_id) % 21 - 10) / cast(8 as double) + cast('0.0071' as double) as decimalLongitude, cast(year(ts) as int) as year from events where value is not null"""
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as records, for ad-hoc maps."""
+    return spark.sql(EVENTS_SQL.replace("from events", "from {events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
