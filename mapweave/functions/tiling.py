@@ -59,7 +59,10 @@ def buffered_addresses(epsg: str, z: int | Column, x: Column, y: Column, size: i
             found.append(F.when(near[dx](px) & near[dy](py), address))
     out = F.array_distinct(F.array_compact(F.array(*found)))
     inside = lambda v: v.between(-buffer, size + buffer)
-    return F.filter(out, lambda a: inside(a.pixelX) & inside(a.pixelY)) if clip else out
+    out = F.filter(out, lambda a: inside(a.pixelX) & inside(a.pixelY)) if clip else out
+    # Most pixels are in no neighbour's buffer, and at one tile wide their own tile is their neighbour: nothing to look up.
+    amid = px.between(buffer, size - buffer - 1) & py.between(buffer, size - buffer - 1)
+    return F.when(amid, F.array(F.struct(tx.alias("tileX"), ty.alias("tileY"), px.alias("pixelX"), py.alias("pixelY")))).otherwise(out)
 
 
 def tile_contains(epsg: str, z: int, tx: int, ty: int, x: Column, y: Column, size: int, buffer: int) -> Column:

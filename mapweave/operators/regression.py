@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from mapweave.operators import binning, mvt
+
 #: Bases of record that are fit for trends.
 SUITABLE = ("OBSERVATION", "HUMAN_OBSERVATION", "MACHINE_OBSERVATION", "MATERIAL_CITATION", "MATERIAL_SAMPLE", "PRESERVED_SPECIMEN", "OCCURRENCE", "LITERATURE", "UNKNOWN")
 FACETS = 300
@@ -78,3 +80,18 @@ def trends(species: DataFrame, group: DataFrame, by: list[str], min_years: int =
     cells = group.join(enough, by, "left_semi") if by else group
     fitted = fit(shares(species, cells, by), by)
     return fitted.withColumn("significance", significance_of("slope", "slopeStdErr", "n"))
+
+
+def as_json(species: DataFrame, group: DataFrame) -> DataFrame:
+    """A search's trend as one JSON document: the fit, and both counts by year as JSON texts inside it."""
+    by_year = lambda df, name: df.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("year").cast("string"), "n"))))).alias(name))  # noqa: E731  years are few
+    both = trends(species, group, []).join(F.broadcast(by_year(group, "groupCounts")), F.lit(True), "left").join(F.broadcast(by_year(species, "speciesCounts")), F.lit(True), "left")  # one row each
+    return both.select(F.to_json(F.struct(*both.columns)).alias("json"))
+
+
+def encoded(fits: DataFrame, z: int, x: int, y: int, per_tile: int = binning.HEX_PER_TILE) -> DataFrame:
+    """The bytes of a tile of hexagons (q, r) with their fits as texts, ``id`` naming the hexagon alike on every tile."""
+    values = [c for c in fits.columns if c not in ("q", "r")]
+    texts = F.map_from_arrays(F.array(*(F.lit(c) for c in ("id", *values))), F.array(F.concat_ws(":", "q", "r"), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in values)))
+    rows = fits.select(F.lit(z).alias("z"), F.lit(x).alias("tileX"), F.lit(y).alias("tileY"), "q", "r", F.col("n").alias("total"), texts.alias("texts"))
+    return mvt.encoded_polygons(rows.withColumn("ring", binning.hex_ring(per_tile)), binning.EXTENT, "regression")

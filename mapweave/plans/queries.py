@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from mapweave.operators import adhoc, binning, extent, mvt, pixels, regression,
 from mapweave.plans import build
 from mapweave.plans import oracle as O
 from mapweave.sources import store
-from mapweave.sources.occurrence import fixture, mapped
+from mapweave.sources.occurrence import EVENTS_SQL, events, fixture, mapped
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -118,8 +119,19 @@ _TILE = "z = 2 and tileX = 2 and tileY = 1"
 _AT = "mapKey, z, tileX, tileY, pixelX, pixelY"
 
 
+#: A tile's buffer as a share, and two pixels more: records beyond it cannot be on the tile.
+_NEAR = (BUFFER + 2) / SIZE
+
+
+def _tile_rows(spark, sf, keys=None, epsg="EPSG:3857", z=2, x=2, y=1):
+    """Rows around one tile: records near it only, counted at its own zoom."""
+    near = mapped(spark, sf).where(adhoc.near_tile(epsg, z, x, y, _NEAR))
+    rows = pixels.keyed(near, F.array(F.lit(K.ALL_KEY)) if keys is None else keys)
+    return tiles.tiles(pixels.pixels(rows, epsg, SIZE, z).withColumn("z", F.lit(z)), epsg, SIZE, BUFFER)
+
+
 def _density(spark, sf, **options):
-    return build.density_tile(_tiles(spark, sf, lowest=2), None, K.ALL_KEY, "EPSG:3857", 2, 2, 1, **options)
+    return build.density_tile(_tile_rows(spark, sf), None, K.ALL_KEY, "EPSG:3857", 2, 2, 1, **options)
 
 
 register("density_tile", _density, O.with_(*_tiles_sql(lowest=2)) + f"select {_AT}, sum(cnt) as total from tiles where {_TILE} group by all")
@@ -141,31 +153,55 @@ _MASK_KEYS = f"['0:0', '{COUNTRY}']"
 
 def _mask(spark, sf):
     only = F.filter(K.non_taxon_keys(), lambda k: k.isin(K.ALL_KEY, COUNTRY))
-    return build.density_tile(_tiles(spark, sf, lowest=2, keys=only), None, K.ALL_KEY, "EPSG:3857", 2, 2, 1, mask=COUNTRY)
+    return build.density_tile(_tile_rows(spark, sf, only), None, K.ALL_KEY, "EPSG:3857", 2, 2, 1, mask=COUNTRY)
 
 
 register("country_mask", _mask, O.with_(*_tiles_sql(lowest=2, keys=f"list_filter({O.NON_TAXON}, lambda k: k in ('0:0', '{COUNTRY}'))")) + f"select {_AT}, sum(cnt) as total from tiles t where {_TILE} and mapKey = '0:0' and (pixelX, pixelY) in (select (pixelX, pixelY) from tiles where {_TILE} and mapKey = '{COUNTRY}') group by all")
 
 
 def _fallback(spark, sf):
+    """Large keys from the pyramid, the others from their point lists."""
     rows = pixels.keyed(mapped(spark, sf), K.non_taxon_keys())
     large = pixels.large_keys(rows, THRESHOLD)
-    prepared = tiles.tiles(pixels.pyramid(pixels.pixels(pixels.with_keys(rows, large, True), "EPSG:4326", SIZE, 1), 1, 1), "EPSG:4326", SIZE, 0)
-    listed = tiles.tiles(pixels.pyramid(pixels.pixels(pixels.with_keys(rows, large, False), "EPSG:4326", SIZE, 1), 1, 1), "EPSG:4326", SIZE, 0)
-    return tiles.flattened(tiles.tiles_or_points(prepared, listed)).groupBy("mapKey").agg(F.sum("total").alias("total"))
+    prepared = tiles.tiles(pixels.pyramid(pixels.pixels(pixels.with_keys(rows, large, True), "EPSG:4326", SIZE, 3), 3, 1).where("z = 1"), "EPSG:4326", SIZE, BUFFER)
+    listed = tiles.from_points(pixels.points(pixels.with_keys(rows, large, False)), "EPSG:4326", 1, SIZE, BUFFER)
+    return tiles.flattened(tiles.tiles_or_points(prepared, listed))
 
 
-register("tile_or_points", _fallback, O.with_(*(O.pixels("EPSG:4326", 1, O.NON_TAXON), O.pyramid(1, 1), O.tiles("EPSG:4326", "pyramid", SIZE, 0))) + "select mapKey, sum(cnt) as total from tiles group by all")
+register("tile_or_points", _fallback, O.with_(*(O.pixels("EPSG:4326", 1, O.NON_TAXON), O.pyramid(1, 1), O.tiles("EPSG:4326", "pyramid", SIZE, BUFFER))) + f"select {_AT}, sum(cnt) as total from tiles group by all")
 register("flatten_layers", lambda s, d: tiles.flattened(_tiles(s, d, lowest=ZOOM)), O.with_(*_tiles_sql(lowest=ZOOM)) + f"select {_AT}, sum(cnt) as total from tiles group by all")
 register("square_bin", lambda s, d: binning.square_bins(_tiles(s, d, lowest=2)), O.with_(*_tiles_sql(lowest=2)) + "select z, tileX, tileY, pixelX * 8 // 16 as cellX, pixelY * 8 // 16 as cellY, sum(cnt) as total from tiles where pixelX between 0 and 511 and pixelY between 0 and 511 group by all")
 
 _R, _H = binning.hex_size()
-_HEX = f"""hexed as (select *, case when dq > dr and dq > ds then -rr - rs else rq end::bigint as q, case when dq > dr and dq > ds then rr when dr > ds then -rq - rs else rr end::bigint as r from (
+_HEX = f"""cells as (select *, case when dq > dr and dq > ds then -rr - rs else rq end::bigint as q, case when dq > dr and dq > ds then rr when dr > ds then -rq - rs else rr end::bigint as r from (
   select *, abs(rq - qf) as dq, abs(rr - rf) as dr, abs(rs - sf) as ds from (select *, floor(qf + 0.5::double) as rq, floor(rf + 0.5::double) as rr, floor(sf + 0.5::double) as rs from (
   select *, -qf - rf as sf from (select *, yy / {_H!r}::double - qf / 2 as rf from (select *, xx / {1.5 * _R!r}::double as qf from (select *, tileX * 4096.0::double + pixelX * 8.0::double as xx, tileY * 4096.0::double + pixelY * 8.0::double as yy from tiles)))))))"""
+_ACROSS, _DOWN = binning.HEX_PER_TILE + binning.GRID_MARGIN, math.ceil(4096 / _H) + binning.GRID_MARGIN
+_HEX += f""", hexed as (select * exclude (gx, gy, hexcol) from (select *, floor((gx - {_R!r}::double) / {1.5 * _R!r}::double + 0.5::double)::bigint as hexcol from (
+  select *, q * {1.5 * _R!r}::double - tileX * 4096.0::double + (tileX * 4096.0::double) % {3 * _R!r}::double + {2.5 * _R!r}::double as gx,
+    (r + q / 2::double) * {_H!r}::double - tileY * 4096.0::double + (tileY * 4096.0::double) % {_H!r}::double + {2 * _H!r}::double as gy from cells))
+  where hexcol between 0 and {_ACROSS - 1} and floor((gy - {_H / 2!r}::double * (1 + ((hexcol % 2) + 2) % 2)) / {_H!r}::double + 0.5::double) between 0 and {_DOWN - 1})"""
+
+
+def _ring_sql(corners: list[tuple[str, str]]) -> str:
+    """Corners as the text of a ring that turns to the right, which all rings here do."""
+    return " || ',' || ".join(f"floor({x} + 0.5::double)::int || ' ' || floor({y} + 0.5::double)::int" for x, y in corners)
+
+
+_HEX_RING = _ring_sql([(f"(q * {1.5 * _R!r}::double - tileX * 4096.0::double + {_R * math.cos(math.pi / 3 * k)!r}::double)", f"((r + q / 2::double) * {_H!r}::double - tileY * 4096.0::double + {_R * math.sin(math.pi / 3 * k)!r}::double)") for k in range(6)])
+_SQUARE_RING = _ring_sql([(f"(cellX * 16 + {i})", f"(cellY * 16 + {j})") for i, j in ((0, 0), (16, 0), (16, 16), (0, 16))])
+
+
+def _polygons(rows, ring, size=binning.EXTENT):
+    return mvt.decoded_polygons(mvt.encoded_polygons(rows.withColumn("ring", ring), size)).drop("mapKey")
+
+
 register("hex_bin", lambda s, d: binning.hex_bins(_tiles(s, d, lowest=2)), O.with_(*_tiles_sql(lowest=2), _HEX) + "select z, tileX, tileY, q, r, sum(cnt) as total from hexed group by all")
 register("hex_bin_years", lambda s, d: binning.hex_bins(_tiles(s, d, lowest=2, zoom=3), yearly=True), O.with_(*_tiles_sql(zoom=3, lowest=2), _HEX) + "select z, tileX, tileY, q, r, year, sum(cnt) as total from hexed group by all")
 
+register("hex_tile_roundtrip", lambda s, d: _polygons(_density(s, d, bin="hex"), binning.hex_ring()), O.with_(*_tiles_sql(lowest=2), _HEX) + f"select z, tileX, tileY, {_HEX_RING} as ring, total from (select z, tileX, tileY, q, r, sum(cnt) as total from hexed where {_TILE} group by all)")
+register("square_tile_roundtrip", lambda s, d: _polygons(_density(s, d, bin="square"), binning.square_ring()), O.with_(*_tiles_sql(lowest=2)) + f"select z, tileX, tileY, {_SQUARE_RING} as ring, total from (select z, tileX, tileY, pixelX * 8 // 16 as cellX, pixelY * 8 // 16 as cellY, sum(cnt) as total from tiles where {_TILE} and pixelX between 0 and 511 and pixelY between 0 and 511 group by all)")
+
 _SPREAD = """vals as (select distinct cast(floor((-180 + 180 * tileX + 180 * pixelX / 512.0::double) * 512 + 0.5::double) as bigint) as v from tiles where pixelX between 0 and 511 and pixelY between 0 and 511),
   gaps as (select v, row_number() over (order by v) as pos, coalesce(lead(v) over (order by v), min(v) over ()) as nxt, coalesce(lead(v) over (order by v), min(v) over () + 184320) - v as gap from vals),
   spread as (select nxt as lft, v as rgt from gaps order by gap desc, pos desc limit 1)"""
@@ -190,7 +226,35 @@ _BOXES = adhoc.request_boxes("EPSG:3575", 1, 0, 0)
 _INSIDE = " or ".join(f"(decimalLatitude between {b!r} and {n!r} and " + (f"(decimalLongitude >= {w!r} or decimalLongitude <= {e!r})" if w > e else f"decimalLongitude between {w!r} and {e!r}") + ")" for w, b, e, n in _BOXES)
 register("pole_union", lambda s, d: adhoc.tile(mapped(s, d), "EPSG:3575", 1, 0, 0, _BITS).select("cellX", "cellY", "total"), O.with_() + f"select cellX, cellY, count(*) as total from (select {_CELL} from occ where {_INSIDE}) group by all")
 register("adhoc_largest", lambda s, d: adhoc.largest(adhoc.bounds(mapped(s, d), _BITS).select("cellX", "cellY", "total"), 100), O.with_() + f"select * from (select cellX, cellY, count(*) as total from (select {_CELL} from occ) group by all) order by total desc, cellX, cellY limit 100")
-register("event_density", lambda s, d: _events(s, d), "select user_id % 64 as cellX, event_type, count(*) as total from events where value is not null group by all")
+
+
+def _box_px(epsg, z, x, y, lat, lng):
+    """Pixels of a corner as seen from one tile that does not touch the date line."""
+    px, py = (c.replace("decimalLatitude", lat).replace("decimalLongitude", lng) for c in O.xy(epsg, SIZE, z))
+    return f"floor({px} - {x * SIZE})::int", f"floor({py} - {y * SIZE})::int"
+
+
+def _adhoc_sql(source: str, inside: str) -> str:
+    """Rectangles around the records of each cell, points where they have no area."""
+    (x0, y0), (x1, y1) = _box_px("EPSG:4326", 2, 5, 1, "maxLat", "minLng"), _box_px("EPSG:4326", 2, 5, 1, "minLat", "maxLng")
+    centre = "floor(x0 + (x1 - x0) / 2::double + 0.5::double)::int || ' ' || floor(y0 + (y1 - y0) / 2::double + 0.5::double)::int"
+    return f"""select 2 as z, 5 as tileX, 1 as tileY, case when x0 = x1 or y0 = y1 then {centre} else {_ring_sql([("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1")])} end as ring, total from (
+      select {x0} as x0, {y0} as y0, {x1} as x1, {y1} as y1, total from (select cellX, cellY, count(*) as total, min(lat) as minLat, max(lat) as maxLat, min(lng) as minLng, max(lng) as maxLng
+        from (select {_CELL}, decimalLatitude as lat, decimalLongitude as lng from {source} where {inside}) group by cellX, cellY))"""
+
+
+_W, _S, _E, _N = adhoc.request_boxes("EPSG:4326", 2, 5, 1)[0]
+_INBOX = f"decimalLatitude between {_S!r} and {_N!r} and decimalLongitude between {_W!r} and {_E!r}"
+_adhoc_tile = lambda rows: mvt.decoded_polygons(adhoc.encoded(adhoc.tile(rows, "EPSG:4326", 2, 5, 1, _BITS), "EPSG:4326", 2, 5, 1)).drop("mapKey")
+register("adhoc_tile_roundtrip", lambda s, d: _adhoc_tile(mapped(s, d)), O.with_() + _adhoc_sql("occ", _INBOX))
+register("event_tile_roundtrip", lambda s, d: _adhoc_tile(events(s, d)), f"with evt as ({EVENTS_SQL}) " + _adhoc_sql("evt", _INBOX))
+register("event_density", lambda s, d: adhoc.bounds(events(s, d), _BITS).select("cellX", "cellY", "total"), f"with evt as ({EVENTS_SQL}) select cellX, cellY, count(*) as total from (select {_CELL} from evt) group by all")
+_GEO = 3
+_LNG, _LAT = f"least(floor((decimalLongitude + 180) / (360.0::double / 256)), 255)::bigint", f"least(floor((decimalLatitude + 90) / (180.0::double / 128)), 127)::bigint"
+_DIGIT = lambda bits: f"substr('{adhoc.GEOHASH}', (" + " + ".join(f"((({v} >> {n}) & 1) << {4 - k})" for k, (v, n) in enumerate(bits)) + ")::int + 1, 1)"
+_HASHED = " || ".join(_DIGIT([("gx", 7 - k // 2) if k % 2 == 0 else ("gy", 6 - k // 2) for k in range(5 * d, 5 * d + 5)]) for d in range(_GEO))
+register("geohash_cells", lambda s, d: adhoc.geohash_cells(mapped(s, d), _GEO).select("geohash", "total", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng")), O.with_() + f"select {_HASHED} as geohash, count(*) as total, round(avg(decimalLatitude), 6) as lat, round(avg(decimalLongitude), 6) as lng from (select {_LNG} as gx, {_LAT} as gy, decimalLatitude, decimalLongitude from occ) group by all")
+
 
 _SUIT = "('" + "','".join(regression.SUITABLE) + "')"
 register("year_facet_topk", lambda s, d: regression.year_facet(mapped(s, d), 5), O.with_() + f"select year, count(*) as n from occ where basisOfRecord in {_SUIT} and year > 0 group by all order by n desc, year limit 5")
@@ -207,7 +271,7 @@ def _search_trend(spark, sf):
 
 
 def _hex_counts(spark, sf, taxon):
-    rows = tiles.filtered(_tiles(spark, sf, lowest=2, keys=F.filter(K.map_keys(), lambda k: k.isin(K.ALL_KEY, taxon))), bases=list(regression.SUITABLE)).where(F.col("year") > 0)
+    rows = tiles.filtered(_tile_rows(spark, sf, F.filter(K.map_keys(), lambda k: k.isin(K.ALL_KEY, taxon))), bases=list(regression.SUITABLE)).where(F.col("year") > 0)
     rows = rows.where((F.col("z") == 2) & (F.col("tileX") == 2) & (F.col("tileY") == 1))
     one = lambda key: binning.hex_bins(rows.where(F.col("mapKey") == key), yearly=True).select("q", "r", "year", F.col("total").alias("n"))
     return one(taxon), one(K.ALL_KEY)
@@ -228,7 +292,13 @@ def _fit_sql(by: str, source: str) -> str:
 register("regression_adhoc", lambda s, d: _fit(_search_trend(s, d)), O.with_(f"pts as (select year::double as x, count(*) filter (countryCode = 'NATION_3') / count(*)::double as y from occ where basisOfRecord in {_SUIT} and year > 0 group by year)") + _fit_sql("", "pts"))
 _RKEYS = f"list_filter({ALL_KEYS}, lambda k: k in ('0:0', '{COUNTRY}'))"
 register("regression_hex", lambda s, d: _fit(_hex_trend(s, d)), O.with_(*_tiles_sql(lowest=2, keys=_RKEYS), _HEX, f"hc as (select mapKey, q, r, year, sum(cnt) as n from hexed where {_TILE} and year > 0 and bor in {_SUIT} group by all)", f"enough as (select q, r from hc where mapKey = '{COUNTRY}' group by all having count(distinct year) >= 2)", f"pts as (select g.q, g.r, g.year::double as x, coalesce(s.n, 0) / g.n::double as y from hc g left join hc s on s.mapKey = '{COUNTRY}' and s.q = g.q and s.r = g.r and s.year = g.year where g.mapKey = '0:0' and (g.q, g.r) in (select (q, r) from enough))") + _fit_sql("q, r", "pts"))
-register("regression_significance", _hex_trend)
+_T, _ANGLE = "(abs(slope) / slopeStdErr)", "atan(abs(slope) / slopeStdErr / sqrt(free))"
+_COS = f"cos({_ANGLE})"
+#: Student's t has closed forms for whole degrees of freedom: sums of powers of the cosine, after an angle where they are odd.
+_SIGNIFICANCE = f"""case when n < 3 or slopeStdErr is null then null when slopeStdErr = 0 then case when slope <> 0 then 0.0::double end when free % 2 = 1 then
+    1 - 2 / pi() * ({_ANGLE} + sin({_ANGLE}) * list_sum(list_transform(range(1, (free - 1) // 2 + 1), lambda k: pow({_COS}, 2 * k - 1) * list_product(list_concat([1.0::double], list_transform(range(1, k), lambda j: 2.0::double * j / (2 * j + 1)))))))
+  else 1 - sin({_ANGLE}) * list_sum(list_transform(range(0, free // 2), lambda k: pow({_COS}, 2 * k) * list_product(list_concat([1.0::double], list_transform(range(1, k + 1), lambda j: (2.0::double * j - 1) / (2 * j)))))) end"""
+register("regression_significance", lambda s, d: _hex_trend(s, d).select("q", "r", "n", F.round("significance", 5).alias("significance")), ORACLES["regression_hex"].replace("select q, r, n, round(slope, 9)", f"select q, r, n, round(coalesce({_SIGNIFICANCE}, 'nan'::double), 5) as significance from (select *, n - 2 as free from (select q, r, n, round(slope, 9)", 1) + "))")
 
 _HASH = "list_reduce(list_concat([0::bigint], list_transform(string_split(mapKey, ''), lambda c: ord(c)::bigint)), lambda h, c: (h * 31 + c) & 4294967295::bigint)"
 _SALTS = f"salted as (select mapKey, (({_HASH}) & 268435455) % {SALT} as salt from (select distinct unnest({ALL_KEYS}) as mapKey from occ))"
@@ -254,16 +324,39 @@ _CASE = "case " + " ".join(f"when total <= {e} then '{c}'" for e, c in zip(_RAMP
 register("style_classes", lambda s, d: tiles.flattened(_tiles(s, d, lowest=2)).groupBy(styles.colour(F.col("total"), "classic.point").alias("colour"), styles.style_class(F.col("total"), "classic.point").alias("class")).agg(F.count("*").alias("n")), O.with_(*_tiles_sql(lowest=2)) + f"select {_CASE} as colour, case when total <= 10 then 0 when total <= 100 then 1 when total <= 1000 then 2 when total <= 10000 then 3 when total <= 100000 then 4 else 5 end as class, count(*) as n from (select {_AT}, sum(cnt) as total from tiles group by all) group by all")
 register("v1_key", lambda s, d: pixels.key_counts(_everything(s, d, K.non_taxon_keys())).where(F.col("mapKey").isin(params.v1_map_key("COUNTRY", "NATION_3"), params.v1_map_key("DATASET", "BUILDING"), params.v1_map_key("ALL", "x"))), O.with_() + f"select mapKey, count(*) as n from (select unnest({O.NON_TAXON}) as mapKey from occ) where mapKey in ('4:NATION_3', '2:BUILDING', '0:0') group by all")
 register("mvt_roundtrip", lambda s, d: mvt.decoded_tiles(mvt.encoded_tiles(_tiles(s, d, lowest=2))), O.with_(*_tiles_sql(lowest=2)) + "select mapKey, z, tileX, tileY, pixelX, pixelY, bor, year, cnt from tiles")
-register("point_list_bytes", lambda s, d: mvt.encoded_points(pixels.unpacked(pixels.points(_everything(s, d, K.non_taxon_keys())))).select("mapKey", F.length("points").alias("bytes")))
+register(
+    "point_lists",
+    lambda s, d: mvt.decoded_points(mvt.encoded_points(pixels.unpacked(pixels.points(_everything(s, d, K.non_taxon_keys()))))),
+    O.with_() + f"select mapKey, decimalLatitude as lat, decimalLongitude as lng, basisOfRecord as bor, coalesce(year, 0) as year, count(*) as cnt from (select unnest({O.NON_TAXON}) as mapKey, decimalLatitude, decimalLongitude, basisOfRecord, year from occ) group by all",
+)
+
+
+def _built(spark, sf, **options) -> store.Config:
+    """A small build in a folder of its own, on the session's shared storage."""
+    config = store.Config("", store.scratch(spark, "build"), modulus=4, max_zoom=2, projections=("EPSG:3857",), **options)
+    build.build(spark, mapped(spark, sf).select("*"), config)
+    return config
+
+
+def _stored(spark, sf):
+    config = _built(spark, sf, threshold=THRESHOLD)
+    tile = store.stored_tile(spark, store.read_pointers(spark, build.pointers_of(config)).tiles, "EPSG:3857", K.ALL_KEY, 2, 2, 1, config.modulus)
+    return tile.groupBy(*tiles.COLUMNS[:-1]).agg(F.sum("cnt").alias("cnt"))
+
+
+def _served(threshold, **request):
+    """A request by its parameters; with an endless threshold every key has a point list and no tiles."""
+    return lambda s, d: build.served(s, _built(s, d, threshold=threshold), "EPSG:3857", 2, 2, 1, request)
+
+
+_ASKED = {"country": ["NATION_3"], "year": ["1996,"], "basisOfRecord": ["OBSERVATION", "HUMAN_OBSERVATION"]}
+_ANSWER = O.with_(*_tiles_sql(lowest=2, keys=O.NON_TAXON)) + f"select {_AT}, sum(cnt) as total from tiles where {_TILE} and mapKey = '{COUNTRY}' and year >= 1996 and bor in ('OBSERVATION', 'HUMAN_OBSERVATION') group by all"
+register("stored_tile", _stored, O.with_(*_tiles_sql(lowest=2)) + f"select {_AT}, bor, year, sum(cnt) as cnt from tiles where {_TILE} group by all")
+register("served_tile", _served(1, **_ASKED), _ANSWER)
+register("served_points", _served(10**12, **_ASKED), _ANSWER)
 
 
 def _pointers(spark, sf):
     rows = spark.read.parquet(f"{sf}/nation.parquet").orderBy("n_name").collect()  # 25 rows
     made = store.Pointers("points", "tiles", {r["n_name"]: "tiles_" + r["n_name"].lower() for r in rows})
     return spark.createDataFrame([(store.Pointers.decode(made.encode()).encode(),)], "value string")
-
-
-def _events(spark, sf):
-    """Ad-hoc counts over events, which take their cell from the user."""
-    rows = spark.read.parquet(f"{sf}/events.parquet").where(F.col("value").isNotNull())
-    return rows.groupBy((F.col("user_id") % 64).alias("cellX"), "event_type").agg(F.count("*").alias("total"))

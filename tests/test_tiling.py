@@ -11,6 +11,7 @@ def local(spark, epsg, z, tx, ty, x, y, size=512, buffer=32):
     return tuple(spark.range(1).select(px, py).first())
 
 
+# Positions that any engine of these tiles must give.
 @pytest.mark.parametrize(
     ("epsg", "z", "tile", "point", "expected"),
     [
@@ -23,6 +24,7 @@ def test_local_pixels(spark, epsg, z, tile, point, expected):
     assert local(spark, epsg, z, *tile, *point) == expected
 
 
+# Fixed values, as above.
 @pytest.mark.parametrize(("epsg", "z", "point", "expected"), [("EPSG:3857", 1, (522, 522), (1, 1)), ("EPSG:3857", 0, (612, 50), (0, 0)), ("EPSG:4326", 0, (612, 50), (1, 0)), ("EPSG:3575", 5, (4125.7778, 2199.1111), (8, 4)), ("EPSG:3575", 5, (9625.7778, 10199.1111), (18, 19))])
 def test_tiles(spark, epsg, z, point, expected):
     assert tuple(spark.range(1).select(*T.tile_xy(epsg, z, F.lit(point[0]), F.lit(point[1]), 512)).first()) == expected
