@@ -105,8 +105,12 @@ def forward(epsg: str, tile_size: int, z: int, lat: float, lng: float) -> tuple[
 
 
 def inverse(epsg: str, tile_size: int, z: int, px: float, py: float) -> tuple[float, float]:
-    """(latitude, longitude) of a pixel of a polar map; a latitude of NaN beyond it."""
+    """(latitude, longitude) of a pixel of any map; on a polar one a latitude of NaN beyond it."""
     pixels = float(tile_size << z)
+    if epsg == "EPSG:3857":
+        return math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * py / pixels)))), px / pixels * 360 - 180
+    if epsg == "EPSG:4326":
+        return 90 - py / (pixels / 180), px / (pixels / 180) - 180
     extent = ARCTIC_EXTENT if epsg == "EPSG:3575" else ANTARCTIC_EXTENT
     x, y = px * 2 * extent / pixels - extent, (pixels - py) * 2 * extent / pixels - extent
     rho = math.hypot(x, y)
@@ -119,6 +123,16 @@ def inverse(epsg: str, tile_size: int, z: int, px: float, py: float) -> tuple[fl
     return lat, lng - 360 if lng > 180 else lng + 360 if lng <= -180 else lng
 
 
+def inverse_xy(epsg: str, tile_size: int, z: int, x: Column, y: Column) -> tuple[Column, Column]:
+    """(latitude, longitude) of pixels of the two maps whose inverse is an expression."""
+    pixels = float(tile_size << z)
+    if epsg == "EPSG:3857":
+        return F.degrees(F.atan(F.sinh(F.lit(math.pi) * (1 - 2 * y / F.lit(pixels))))), x / F.lit(pixels) * 360 - 180
+    if epsg == "EPSG:4326":
+        return 90 - y / F.lit(pixels / 180), x / F.lit(pixels / 180) - 180
+    raise ValueError("polar maps are inverted point by point, with inverse")
+
+
 def _solve(f, target: float, rises: bool) -> float:
     """Degrees at which a monotonous function of the latitude has a value, by halving."""
     low, high = -math.pi / 2, math.pi / 2

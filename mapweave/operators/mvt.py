@@ -199,6 +199,18 @@ def decode_shapes(data: bytes, only: set[str] | None = None) -> Iterator[tuple[s
                 yield name, points[0] if parts[3] == 1 else points, attributes
 
 
+def described(data: bytes) -> list[str]:
+    """A tile as lines of text, for looking into it: its layers, and each feature's shape and attributes."""
+    out, layer = [], None
+    for name, shape, attributes in decode_shapes(data):
+        if name != layer:
+            out.append(f"layer {name}")
+            layer = name
+        points = [shape] if isinstance(shape, tuple) else shape
+        out.append(f"  {'point' if isinstance(shape, tuple) else 'polygon'} {','.join(f'{x} {y}' for x, y in points)} {' '.join(f'{k}={v}' for k, v in sorted(attributes.items()))}".rstrip())
+    return out
+
+
 def decode_tile(data: bytes, only: set[str] | None = None) -> dict[str, list[tuple[int, int, dict[str, int]]]]:
     """Layers of points, all or those named."""
     out: dict[str, list] = {}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mapweave.functions import keys as K
 from mapweave.functions import params, styles
-from mapweave.functions.projection import SCHEMAS, pixel, plottable
+from mapweave.functions.projection import SCHEMAS, inverse_xy, pixel, plottable
 from mapweave.functions.tiling import buffered_addresses, local_xy, tile_xy
 from mapweave.operators import adhoc, binning, extent, mvt, pixels, regression, tiles
 from mapweave.plans import build
@@ -307,6 +307,31 @@ register("salt_key", lambda s, d: _all_keys(s, d).select("mapKey", K.salted(F.co
 register("salt_sorted_layout", lambda s, d: store.laid_out(_all_keys(s, d), F.col("mapKey"), SALT).groupBy("salt").agg(F.count("*").alias("n"), F.min("rowKey").alias("first"), F.max("rowKey").alias("last")), O.with_(_SALTS) + "select salt::int as salt, count(*) as n, min(lpad(salt::varchar, 2, '0') || ':' || mapKey) as first, max(lpad(salt::varchar, 2, '0') || ':' || mapKey) as last from salted group by all")
 register("heat_children", lambda s, d: tiles.heat_children(_pyramid(s, d, "EPSG:3857", 3, 3)), O.with_(O.pixels("EPSG:3857", 3), O.pyramid(3, 3)) + "select mapKey, z - 1 as z, (x // 512) >> 1 as tileX, (y // 512) >> 1 as tileY, x // 512 as childX, y // 512 as childY, sum(occCount) as total from pyramid group by all")
 
+_TILE_HASH = _HASH.replace("mapKey", "place")
+register(
+    "tile_row_key",
+    lambda s, d: _tiles(s, d, lowest=2).select("mapKey", "z", "tileX", "tileY").distinct().withColumn("rowKey", K.salted(K.tile_key(F.col("mapKey"), F.col("z"), F.col("tileX"), F.col("tileY")), SALT)),
+    O.with_(*_tiles_sql(lowest=2)) + f"select mapKey, z, tileX, tileY, lpad(((({_TILE_HASH}) & 268435455) % {SALT})::varchar, 2, '0') || ':' || place as rowKey from (select distinct mapKey, z, tileX, tileY, mapKey || ':' || z || ':' || tileX || ':' || tileY as place from tiles)",
+)
+register(
+    "tiles_of_all_zooms",
+    lambda s, d: _tiles(s, d, zoom=16, keys=K.non_taxon_keys()).groupBy("mapKey", "z").agg(F.count("*").alias("n"), F.sum("cnt").alias("total")),
+    O.with_(*_tiles_sql(zoom=16, keys=O.NON_TAXON)) + "select mapKey, z, count(*) as n, sum(cnt) as total from tiles group by all",
+)
+_PX16, _PY16 = O.xy("EPSG:3857", SIZE, 16)
+register(
+    "inverse_3857",
+    lambda s, d: _inverted(s, d),
+    O.with_() + f"select x, y, round(degrees(atan((exp(u) - exp(-u)) / 2)), 6) as lat, round(x / {float(SIZE << 16)!r}::double * 360 - 180, 6) as lng from (select x, y, pi() * (1 - 2 * y / {float(SIZE << 16)!r}::double) as u from (select distinct cast(trunc({_PX16}) as int) as x, cast(trunc({_PY16}) as int) as y from occ where {O.plottable('EPSG:3857')}))",
+)
+
+
+def _inverted(spark, sf):
+    at = mapped(spark, sf).select(pixel("EPSG:3857", SIZE, 16, F.col("decimalLatitude"), F.col("decimalLongitude")).alias("xy")).where(F.col("xy").isNotNull()).select("xy.x", "xy.y").distinct()
+    lat, lng = inverse_xy("EPSG:3857", SIZE, 16, F.col("x"), F.col("y"))
+    return at.select("x", "y", F.round(lat, 6).alias("lat"), F.round(lng, 6).alias("lng"))
+
+
 _NAMES = "select concat('maps_', lower(c_mktsegment), '_', strftime(o_orderdate, '%Y%m%d_%H%M')) as name from customer join orders on c_custkey = o_custkey"
 
 
@@ -317,7 +342,8 @@ def _names(spark, sf):
 
 
 register("table_date", lambda s, d: _names(s, d).distinct().select("name", store.table_date_column(F.col("name")).alias("date")), f"select distinct name, strftime(strptime(right(name, 13), '%Y%m%d_%H%M'), '%Y-%m-%dT%H:%MZ') as date from ({_NAMES})")
-register("retention", lambda s, d: store.retention(_names(s, d).where(F.col("name").like("maps_building%")).distinct(), "maps_building_none"), f"select name, case when row_number() over (order by name desc) = 1 then 'keep' when row_number() over (order by name desc) = 2 then 'disable' else 'delete' end as action from (select distinct name from ({_NAMES}) where name like 'maps_building%')")
+_AGE = "row_number() over (partition by left(name, len(name) - 13) order by name desc)"
+register("retention", lambda s, d: store.retention(_names(s, d).distinct(), "maps_none"), f"select name, case when {_AGE} = 1 then 'keep' when {_AGE} = 2 then 'disable' else 'delete' end as action from (select distinct name from ({_NAMES}))")
 register("metastore_encode", lambda s, d: _pointers(s, d), "select 'points|tiles|' || string_agg(n_name || ',tiles_' || lower(n_name), '|' order by n_name) as value from nation")
 _RAMP = styles.RAMPS["classic"]
 _CASE = "case " + " ".join(f"when total <= {e} then '{c}'" for e, c in zip(_RAMP[0], _RAMP[1], strict=False)) + f" else '{_RAMP[1][-1]}' end"

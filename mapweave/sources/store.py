@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import re
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
@@ -187,9 +189,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
+def watched(spark: SparkSession, path: str, seconds: float = 60.0, rounds: int | None = None) -> Iterator[Pointers]:
+    """The pointers now, and again whenever they have changed; looks every so many seconds, ``rounds`` times if given."""
+    seen = None
+    while rounds is None or rounds > 0:
+        now = read_pointers(spark, path)
+        if now != seen:
+            yield now
+            seen = now
+        rounds = None if rounds is None else rounds - 1
+        if rounds != 0:
+            time.sleep(seconds)
+
+
 def retention(tables: DataFrame, built: str) -> DataFrame:
-    """(name, action) by age: the newest is kept, the one before it disabled, older ones deleted; never ``built``."""
-    place = F.row_number().over(Window.orderBy(F.desc("name")))  # a listing of tables, a few rows
+    """(name, action) by age: of the tables of one name but for the time the newest is kept, the one before it disabled, older ones deleted; never ``built``."""
+    family = F.regexp_replace("name", r"\d{8}_\d{4}$", "")
+    place = F.row_number().over(Window.partitionBy(family).orderBy(F.desc("name")))  # a listing of tables, a few rows
     action = F.when((F.col("place") == 1) | (F.lower("name") == built.lower()), "keep").when(F.col("place") == 2, "disable").otherwise("delete")
     return tables.select("name", place.alias("place")).select("name", action.alias("action"))
 

@@ -4,11 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from mapweave.functions import keys as K
-from mapweave.functions import params, styles
-from mapweave.operators import adhoc, binning, extent, mvt, pixels, regression, tiles
+from mapweave.functions import params, projection, styles
+from mapweave.operators import adhoc, binning, extent, mvt, pixels, raster, regression, tiles
 from mapweave.plans import build
 from mapweave.sources import store
-from mapweave.sources.occurrence import BASES, base_filter, fixture, mapped
+from mapweave.sources.occurrence import BASES, COLUMNS, base_filter, fixture, mapped, read_occurrences
 from mapweave.streaming.density import windowed
 
 
@@ -294,6 +294,49 @@ def test_hexagons_of_a_tile_s_own_grid(spark, per_tile):
     assert (None in want or per_tile == 9) and sum(p is not None for p in want) > 150
 
 
+def test_images(spark, levels):
+    rows = tiles.flattened(tiles.tiles(levels.where("z = 1"), "EPSG:4326"))
+    images = {(r.tileX, r.tileY): raster.pixels_of(bytes(r.png)) for r in raster.rendered(rows, "classic.point").collect()}
+    inside = [r for r in rows.where("pixelX between 0 and 511 and pixelY between 0 and 511").withColumn("colour", styles.colour(F.col("total"), "classic.point")).collect()]
+    for r in inside:
+        assert "#%02X%02X%02X" % tuple(images[r.tileX, r.tileY][r.pixelY, r.pixelX, :3]) == r.colour
+    assert sum(int((i[..., 3] > 0).sum()) for i in images.values()) == len(inside)
+    image = raster.blank(8)
+    raster.paint(image, -1, 3, "#102030", 4)
+    assert (image[..., 3] > 0).sum() == 8 and (raster.pixels_of(raster.png(image)) == image).all()
+    half, full = raster.blank(2), raster.blank(2)
+    half[0, 0], full[:] = (255, 128, 0, 255), (128, 128, 128, 255)
+    assert raster.multiplied(half, full)[0, 0].tolist() == [128, 64, 0, 255] and raster.multiplied(half, full)[1, 1].tolist() == [128, 128, 128, 255]
+    whole = raster.heat_composite({(0, 0): half, (1, 1): full}, 2)
+    assert whole[0, 0].tolist() == [255, 128, 0, 64] and whole[1, 1].tolist() == [128, 128, 128, 255] and whole[0, 1, 3] == 0
+
+
+def test_sources(spark, sf, tmp_path):
+    """A table of the catalog and a folder of files give the same records, and only the columns that are used."""
+    fixture(spark, sf).withColumn("more", F.lit(1)).write.parquet(str(tmp_path / "occ"))
+    spark.read.parquet(str(tmp_path / "occ")).createOrReplaceTempView("occurrence_source")
+    a, b = read_occurrences(spark, str(tmp_path / "occ")), read_occurrences(spark, "occurrence_source")
+    assert a.columns == b.columns == list(COLUMNS) and a.count() == b.count() > 0
+    assert a.select("countryCode", "year").exceptAll(b.select("countryCode", "year")).count() == 0
+
+
+def test_watched_pointers(spark, tmp_path):
+    path = str(tmp_path / "pointers")
+    seen = store.watched(spark, path, 0.0, rounds=4)
+    assert next(seen) == store.Pointers()
+    store.write_pointers(spark, path, store.Pointers(tiles="t1"))
+    assert next(seen).tiles == "t1" and list(seen) == []
+
+
+def test_inverse_of_every_map(spark):
+    for epsg, lat, lng in (("EPSG:3857", 60.25, 24.5), ("EPSG:4326", -12.5, 179.0), ("EPSG:3575", 70.0, -100.0), ("EPSG:3031", -80.0, 15.0)):
+        assert projection.inverse(epsg, 512, 3, *projection.forward(epsg, 512, 3, lat, lng)) == pytest.approx((lat, lng), abs=1e-6)
+
+
+def test_described_tiles():
+    assert mvt.described(mvt.encode_shapes({"a": [((1, 2), {"total": 3})], "b": [([(0, 0), (4, 0), (4, 4)], {})]}, 512)) == ["layer a", "  point 1 2 total=3", "layer b", "  polygon 0 0,4 0,4 4"]
+
+
 def test_geohash(spark):
     row = spark.range(1).select(adhoc.geohash(F.lit(57.64911), F.lit(10.40744), 11).alias("h"), adhoc.geohash(F.lit(-90.0), F.lit(-180.0), 4).alias("low"), adhoc.geohash(F.lit(90.0), F.lit(180.0), 3).alias("high")).first()
     assert tuple(row) == ("u4pruydqqvj", "0000", "zzz")
