@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mapweave.functions import keys as K
 from mapweave.functions import params
-from mapweave.operators import binning, extent, mvt, pixels, tiles
+from mapweave.operators import binning, extent, mvt, pixels, raster, tiles
 from mapweave.sources import store
 from mapweave.sources.occurrence import base_filter
 
@@ -23,7 +23,9 @@ def build(spark: SparkSession, occurrences: DataFrame, config: store.Config) ->
     written too: their number is known then, and decides whether they are broadcast.
     """
     target = f"{config.directory()}/{uuid.uuid4().hex[:12]}"
-    base_filter(occurrences).write.option("maxRecordsPerFile", config.records_per_file).parquet(f"{target}/input")
+    found = base_filter(occurrences)
+    found = found.coalesce(config.input_files) if config.input_files else found
+    found.write.option("maxRecordsPerFile", config.records_per_file).parquet(f"{target}/input")
     records = spark.read.parquet(f"{target}/input")
     keyed = pixels.keyed(records)
     pixels.large_keys(keyed, config.threshold).write.parquet(f"{target}/keys")
@@ -85,6 +87,31 @@ def served_bytes(spark: SparkSession, config: store.Config, epsg: str, z: int, x
     return mvt.encoded_polygons(rows.withColumn("ring", point), config.tile_size)
 
 
+def served_image(spark: SparkSession, config: store.Config, epsg: str, z: int, x: int, y: int, request: dict[str, list[str]]) -> DataFrame:
+    """``served`` as an image in the style that the request names; points only, no row where the tile is empty."""
+    points = {k: v for k, v in request.items() if k not in ("bin", "verbose")}
+    return raster.rendered(served(spark, config, epsg, z, x, y, points), (request.get("style") or [None])[0], config.tile_size)
+
+
+def served_capabilities(spark: SparkSession, config: store.Config, request: dict[str, list[str]]) -> DataFrame:
+    """What a request's map covers, from both hemispheres' tiles at zoom 0 in plate carree; years and bases aren't filtered."""
+    pointers = store.read_pointers(spark, pointers_of(config))
+    key, _ = params.map_keys(request)
+    rows = None
+    for x in (0, 1):
+        one = store.stored_tile(spark, pointers.table_of(key), "EPSG:4326", key, 0, x, 0, config.modulus).select(*tiles.COLUMNS)
+        if pointers.points and not one.limit(1).count():
+            one = tiles.point_tile(store.stored_points(spark, pointers.points, key, config.modulus), key, "EPSG:4326", 0, x, 0, config.tile_size, config.buffer).select(*tiles.COLUMNS)
+        rows = one if rows is None else rows.unionByName(one)
+    return extent.capabilities(rows, config.tile_size)
+
+
+def tile_json(spark: SparkSession, config: store.Config, kind: str, key: str) -> DataFrame:
+    """A map's extent as the first interface asked for it and answers: one JSON document."""
+    name = params.V1_TYPES.get(kind)
+    return extent.as_json(extent.first_interface(served_capabilities(spark, config, {name: [key]} if name else {})))
+
+
 def density_tile(prepared: DataFrame, listed: DataFrame | None, key: str, epsg: str, z: int, x: int, y: int, years=(None, None), bases=None, verbose: bool = False, mask: str | None = None, bin: str | None = None, hex_per_tile: int = binning.HEX_PER_TILE, square: int = binning.SQUARE, size: int = 512, buffer: int = 64) -> DataFrame:
     """One tile of one map: prepared rows or else those of the point list, filtered, masked, and binned or flattened."""
 

@@ -88,6 +88,8 @@ class Config:
     projections: tuple[str, ...] = ("EPSG:3857", "EPSG:4326", "EPSG:3575", "EPSG:3031")
     checklists: tuple[str, ...] = ()
     records_per_file: int = 10_000_000
+    #: Files that the filtered records are written to at most; 0 leaves that to Spark.
+    input_files: int = 0
 
     @classmethod
     def read(cls, text: str) -> Config:

@@ -1,3 +1,5 @@
+import glob
+import json
 import math
 
 import pytest
@@ -356,8 +358,6 @@ def test_adhoc_tiles(spark, sf):
 
 
 def test_trend_as_json_and_tile(spark):
-    import json
-
     group = spark.createDataFrame([(y, 10) for y in range(2000, 2006)], "year int, n long")
     species = spark.createDataFrame([(2000 + i, i) for i in range(1, 6)], "year int, n long")
     made = json.loads(regression.as_json(species, group).first().json)
@@ -391,7 +391,7 @@ def test_filters_reach_the_scan(spark, sf, tmp_path):
 
 
 def test_build(spark, sf, tmp_path):
-    config = store.Config("", str(tmp_path / "maps"), threshold=1000, modulus=4, max_zoom=2, projections=("EPSG:4326",), checklists=("chk-b",))
+    config = store.Config("", str(tmp_path / "maps"), threshold=1000, modulus=4, max_zoom=2, projections=("EPSG:4326",), checklists=("chk-b",), input_files=2)
     pointers = build.build(spark, fixture(spark, sf), config)
     tile = store.stored_tile(spark, pointers.tiles, "EPSG:4326", K.ALL_KEY, 0, 0, 0, 4)
     plan = tile._jdf.queryExecution().executedPlan().toString()
@@ -406,9 +406,16 @@ def test_build(spark, sf, tmp_path):
     assert build.density_tile(prepared, listed, key, "EPSG:4326", 0, 0, 0).count() + build.density_tile(prepared, listed, key, "EPSG:4326", 0, 1, 0).count() > 0
     # A second build goes to a folder of its own; the first stays readable, and requests find the second.
     again = build.build(spark, fixture(spark, sf), config)
+    assert len([f for f in glob.glob(f"{again.tiles}/../input/*.parquet")]) <= 2
     assert again.tiles != pointers.tiles and store.stored_tile(spark, pointers.tiles, "EPSG:4326", K.ALL_KEY, 0, 0, 0, 4).count() == tile.count() > 0
     served = build.served(spark, config, "EPSG:4326", 0, 0, 0, {"verbose": ["true"]})
     assert served.groupBy().agg(F.sum("cnt")).first()[0] == total(tile, "cnt")
+    text = json.loads(build.tile_json(spark, config, "ALL", "").first().json)
+    assert text["count"] == both and build.served_capabilities(spark, config, {}).first().total == both and text["maximumLatitude"] <= 85.06
+    some = json.loads(build.tile_json(spark, config, "COUNTRY", "NATION_3").first().json)
+    assert 0 < some["count"] < both and json.loads(build.tile_json(spark, config, "COUNTRY", "none").first().json)["count"] == 0
+    image = raster.pixels_of(bytes(build.served_image(spark, config, "EPSG:4326", 0, 0, 0, {"style": ["green.point"], "bin": ["hex"]}).first().png))
+    assert 0 < (image[..., 3] == 255).sum() <= tile.select("pixelX", "pixelY").distinct().count()
     for request in ({}, {"verbose": ["true"]}, {"bin": ["hex"]}, {"bin": ["square"], "squareSize": ["64"]}):
         decoded = mvt.decoded_polygons(build.served_bytes(spark, config, "EPSG:4326", 0, 0, 0, request))
         inside = {} == request or "verbose" in request
