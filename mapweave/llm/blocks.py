@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from mapweave.llm.session import documents, prepare, stable
+from mapweave.llm.session import documents, prepare, release, stable
 from mapweave.llm.words import U
 
 #: Bytes of text in a block, and per key bucket.
@@ -122,6 +122,7 @@ def requested(blocks: DataFrame, ask: Callable[[bytes], Iterator[tuple[int, int,
                 rows = list(ask(docs))
                 if rows:
                     yield request_batch(block, rows)
+                release()
 
     return blocks.select("block", "docs").mapInArrow(run, REQUESTS)
 
@@ -139,6 +140,7 @@ def answered(requests: DataFrame, answer: Callable[[list[int], list[bytes]], tup
     schema = "block long, bucket long, part int, reply binary, total_a long, total_b long"
 
     def run(table: pa.Table) -> pa.Table:
+        release()  # what the last bucket left
         replies, (a, b) = answer(table["part"].to_pylist(), table["keys"].to_pylist())
         rest = [0] * (table.num_rows - 1)
         return pa.table({"block": table["block"], "bucket": table["bucket"], "part": table["part"], "reply": pa.array(replies, pa.binary()), "total_a": pa.array([a, *rest], pa.int64()), "total_b": pa.array([b, *rest], pa.int64())})
@@ -153,6 +155,7 @@ def met(blocks: DataFrame, replies: DataFrame, use: Callable[[bytes, dict[int, d
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return empty.empty_table()
+        release()  # what the last block left
         got: dict[int, dict[int, bytes]] = {}
         for bucket, part, reply in zip(right["bucket"].to_pylist(), right["part"].to_pylist(), right["reply"].to_pylist(), strict=True):
             got.setdefault(part, {})[bucket] = reply

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mapweave.llm.session import checkpointed, documents, prepare, unused
+from mapweave.llm.session import checkpointed, documents, prepare, release, unused
 from mapweave.llm.words import U, WordKeys, keyed, windows
 
 SHINGLE, THRESHOLD_PERCENT = 5, 80
@@ -171,6 +171,7 @@ def _search(sketches: Sketches):
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "item_id", "n_shared", "n_shingles"])
                 start = stop
+            release()
 
     return run
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mapweave.llm.blocks import deflate, deflate_sorted, inflate, inflate_sorted
-from mapweave.llm.session import documents, prepare, shuffle_partitions, stable
+from mapweave.llm.session import documents, prepare, release, shuffle_partitions, stable
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a word that fit a mask; bytes of text a block has; pieces that are broadcast at most.
@@ -290,10 +290,13 @@ def _encoded(docs: DataFrame, model: Model, finish: Callable, schema: str) -> Da
             for at in range(0, len(block.asked), WORDS_AT_ONCE):
                 some = block.asked[at : at + WORDS_AT_ONCE]
                 yield pa.RecordBatch.from_arrays([block.words.take(pa.array(some)), pa.array(some + place, pa.int64())], names=["word", "key"])
+            del block
+            release()
 
     def pack(batches):
         for place, ids, texts in _blocks(batches):
             yield pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), pa.array([_Block(place, ids, texts, find).packed()], pa.binary())], names=["block", "docs"])
+            release()
 
     asked = docs.mapInArrow(ask, "word string, key long").where("word is not null and key is not null").repartition(n, "word")
     # Both uses read the same columns of the same exchange, which therefore runs once.
@@ -303,6 +306,7 @@ def _encoded(docs: DataFrame, model: Model, finish: Callable, schema: str) -> Da
     blocks = docs.mapInArrow(pack, "block long, docs binary")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
+        release()  # what the last block left
         if left.num_rows != 1:
             raise RuntimeError("two passes over the documents saw different rows")
         ids, digests, lengths, flat, order, others = pickle.loads(left["docs"][0].as_py())

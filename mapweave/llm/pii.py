@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from mapweave.llm.bilstm import PAD, BiLstmCrf
-from mapweave.llm.session import documents, prepare
+from mapweave.llm.session import documents, prepare, release
 
 KINDS = ("email", "ip", "card", "phone")
 WIDTH, STRIDE, HIDDEN, EPOCHS, EXAMPLES = 96, 48, 24, 16, 3000
@@ -346,5 +346,6 @@ def found(docs: DataFrame, examples_used: int = EXAMPLES) -> DataFrame:
             columns.append(pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in spans], pa.string()))
             columns.append(pa.array([joined(base + more) for base, more in spans], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            release()
 
     return documents(docs).mapInArrow(run, RESULT)

@@ -78,9 +78,9 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, block_bytes: int = B.BLO
 
     A word goes if a window of the input that covers it also starts in a document with a smaller id.
     Null and empty texts have no words and keep the empty string, as does a text that goes wholly.
-    Texts shorter than a window keep every word. Rows with equal ids count as one document's and remove
-    nothing from each other; a null id counts as larger than every other id. An empty table gives an
-    empty result, and other columns are dropped.
+    Texts shorter than a window keep every word; very long ones are read whole. Rows with equal ids, repeated ones too,
+    count as one document's and remove nothing from each other; a null id counts as larger than every other id. An
+    empty table gives an empty result, and other columns, whatever their names, are dropped.
     """
     packed, total = B.packed(docs, block_bytes)
     n, bits = B.bucket_count(total, bucket_bytes), min(64, max(1, total).bit_length() + SPARE_BITS)
