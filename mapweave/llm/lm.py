@@ -37,9 +37,9 @@ ORDER = 3
 #: Weight of the shorter context within a probability, in observations.
 PRIOR = 4.0
 FOLDS = 10
-SPARE_BITS = 24
-#: Bytes of text in a block, and tokens of a segment.
-BLOCK_BYTES, SEGMENT = 6 << 20, 512
+SPARE_BITS = 20
+#: Bytes of text in a block and per key bucket, and tokens of a segment.
+BLOCK_BYTES, BUCKET_BYTES, SEGMENT = 4 << 20, 12 << 20, 512
 #: Tokens that can't be words, which hold no tab or line feed.
 START, END = b"\t", b"\n"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -175,7 +175,7 @@ class Automaton:
         return out
 
 
-def model(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = B.BUCKET_BYTES) -> tuple[DataFrame, DataFrame, int, int]:
+def model(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame, int, int]:
     """Blocks of the documents, the training counts of each block's n-grams, the number of key buckets, and bits of a key."""
     packed, total = B.packed(docs, block_bytes)
     n, bits = B.bucket_count(total * (order - 1), bucket_bytes), min(64, max(1, total).bit_length() + SPARE_BITS)
