@@ -9,7 +9,8 @@ scores that Viterbi maximises gives other pieces than the library does. So the f
 edges by priority, not by position: its state is the set of boundaries, a bit each, and an edge is
 taken if it spans just two symbols, whose boundary it removes. That is the library's result wherever a
 merge never opens a better one. Where an edge could still be taken at the end, the word is encoded
-again by explicit merging, as are words with over ``MASK`` characters or several spaces.
+again by explicit merging, as are words with over ``MASK`` characters or several spaces. For unigram models, whose
+scores are log-probabilities, ``segmented`` folds the same lattice by Viterbi.
 
 What moves: every block of documents asks for each of its distinct words once, the answers come back
 packed, and the documents travel as word numbers.
@@ -265,6 +266,43 @@ def lattice(words: DataFrame, model: Model) -> DataFrame:
     return taken.select("word", order.alias("all"), (F.size("many") + F.size("few") + 1 != F.bit_count("mask")).alias("again")).select("word", F.transform("all", lambda e: e.bitwiseAND((1 << 24) - 1).cast("int")).alias("ids"), "again")
 
 
+def segmented(words: DataFrame, pieces: DataFrame, unknown: float, longest: int) -> DataFrame:
+    """Rows (word, pieces, score): the segmentation of each word with the greatest sum of scores, for unigram models.
+
+    ``words`` has distinct words in a column ``word``, ``pieces`` rows (piece, score); characters without a piece are
+    pieces of their own with the score ``unknown``. The edges of the lattice are folded by their ends: the state is,
+    for each position, the best score there and the edge that led to it. Of equal sums the one whose last piece
+    is longer stays, and so on towards the front. Null and empty words have no pieces and score 0; repeated words
+    count as one; an empty table gives an empty result; other columns of either table are dropped.
+    """
+    words = words.select(F.coalesce("word", F.lit("")).alias("word")).distinct()
+    parts = words.select("word", F.explode(F.sequence(F.lit(0), F.greatest(F.length("word") - 1, F.lit(0)))).alias("s"))
+    parts = parts.where(F.length("word") > 0).select("word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("s")))).alias("l"))
+    parts = parts.select("word", "s", "l", F.substr(F.col("word"), F.col("s") + 1, F.col("l")).alias("piece"))
+    known = pieces.select("piece", F.col("score").cast("double").alias("score")).where(F.col("piece").isNotNull()).groupBy("piece").agg(F.max("score").alias("score"))
+    edges = parts.join(known, "piece", "left").where(F.col("score").isNotNull() | (F.col("l") == 1)).withColumn("score", F.coalesce("score", F.lit(unknown)))
+    edge = F.struct((F.col("s") + F.col("l")).alias("e"), "s", "score")  # by end; of one end from the longest piece on
+    grouped = edges.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    place = "struct<score:double,s:int>"
+    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(-1).alias("s"))).cast(f"array<{place}>")
+
+    def step(best, e):
+        sum_ = F.get(best, e.s).score + e.score
+        better = F.struct(sum_.alias("score"), e.s.cast("int").alias("s")).cast(place)
+        last = F.size(best) - 1
+        replaced = F.when(sum_ > F.get(best, last).score, F.concat(F.slice(best, 1, last), F.array(better))).otherwise(best)
+        return F.when(e.e > last, F.concat(best, F.array(better))).otherwise(replaced)  # every end has an edge: one of a single character
+
+    folded = grouped.select("word", F.aggregate("edges", start, step).alias("best"))
+    none = F.struct(F.length("word").alias("at"), F.array().cast("array<int>").alias("cuts"))
+    # Back from the end along the edges kept: as many steps as there are characters at most.
+    back = lambda a, i: F.when(a["at"] > 0, F.struct(F.get(F.col("best"), a["at"]).s.alias("at"), F.concat(F.array(F.get(F.col("best"), a["at"]).s), a.cuts).alias("cuts"))).otherwise(a)
+    cuts = folded.select("word", F.get(F.col("best"), F.length("word")).score.alias("score"), F.aggregate(F.sequence(F.lit(1), F.length("word")), none, back, lambda a: a.cuts).alias("cuts"))
+    ends = F.concat(F.slice("cuts", 2, F.size("cuts")), F.array(F.length("word")))
+    made = cuts.select("word", F.transform("cuts", lambda c, i: F.substr(F.col("word"), c + 1, F.get(ends, i) - c)).alias("pieces"), "score")
+    return words.join(made, "word", "left").select("word", F.coalesce("pieces", F.array().cast("array<string>")).alias("pieces"), F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def encoded(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """Per document: doc_id, the ids of its pieces, and the SHA-256 of its text.
 

@@ -48,6 +48,36 @@ def test_odd_texts(spark, library):
         assert r.ids == library.encode(texts[r.doc_id]), texts[r.doc_id]
 
 
+def brute_segmentation(word, scores, unknown):
+    """The best of all 2 ** (n - 1) ways to cut a word, of equal sums the one with the longest last piece, and so on."""
+    best = None
+    for cut in range(1 << max(0, len(word) - 1)):
+        ends = [0, *(k + 1 for k in range(len(word) - 1) if cut >> k & 1), len(word)]
+        pieces = [word[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        if all(p in scores or len(p) == 1 for p in pieces):
+            total = sum(scores.get(p, unknown) for p in pieces)
+            key = (round(total, 9), [len(p) for p in reversed(pieces)])
+            best = max(best, (key, pieces), key=lambda x: x[0]) if best else (key, pieces)
+    return best[1], best[0][0]
+
+
+def test_viterbi_over_the_lattice(spark):
+    r = random.Random(9)
+    scores = {}
+    while len(scores) < 60:
+        scores["".join(r.choice("abc") for _ in range(r.randint(1, 4)))] = -r.randint(1, 40) / 4
+    scores["é日"] = -1.0
+    words = ["".join(r.choice("abcd") for _ in range(r.randint(1, 10))) for _ in range(150)] + ["é日é日x", "d", "dddd"]
+    table = spark.createDataFrame([(w, 1) for w in [*words, words[0], "", None]], "word string, score int")
+    pieces = spark.createDataFrame([(p, s, "x") for p, s in scores.items()] + [(None, 1.0, "x"), ("a", -99.0, "x")], "piece string, score double, word string")
+    got = {x.word: x for x in lattice.segmented(table, pieces, -20.0, 4).collect()}
+    assert set(got) == {*words, ""} and (got[""].pieces, got[""].score) == ([], 0.0)
+    for w in words:
+        want, total = brute_segmentation(w, scores, -20.0)
+        assert got[w].score == pytest.approx(total) and got[w].pieces == want, w
+    assert lattice.segmented(table.limit(0), pieces, -20.0, 4).count() == 0
+
+
 def test_explicit_merging(library):
     model = lattice.Model()
     for word in ("▁hello", "ation", "▁▁▁▁x", "zzzz", "▁nations"):
