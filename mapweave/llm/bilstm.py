@@ -72,7 +72,7 @@ class BiLstmCrf:
         rows, times, grad = np.arange(n), np.arange(t), {k: np.zeros_like(v) for k, v in self.p.items()}
         gold = first[y[:, 0]] + e[times[:, None], rows, y.T].sum(0) + trans[y[:, :-1], y[:, 1:]].sum(1)
         de = np.exp(alpha + beta - log_z[None, :, None])
-        grad["first"] = de[0].sum(0) - np.bincount(y[:, 0], minlength=self.n_labels)
+        grad["first"] = de[0].sum(0) - np.bincount(y[:, 0], minlength=self.n_labels).astype(de.dtype)
         pairs = alpha[:-1, :, :, None] + trans + (e[1:] + beta[1:])[:, :, None, :] - log_z[None, :, None, None]
         grad["trans"] = np.exp(pairs).sum((0, 1))
         np.add.at(grad["trans"], (y[:, :-1].ravel(), y[:, 1:].ravel()), -1.0)
@@ -85,7 +85,7 @@ class BiLstmCrf:
     def _back(self, both, tape, dhidden, grad) -> None:
         h, u, t, n = self.h, self.p["u"], len(tape), both.shape[2]
         dh = np.stack([dhidden[:, :, :h], dhidden[::-1, :, h:]], axis=1)
-        dstate, dcell, dz = np.zeros((2, n, h)), np.zeros((2, n, h)), np.empty((t, 2, n, 4 * h))
+        dstate, dcell, dz = np.zeros((2, n, h), u.dtype), np.zeros((2, n, h), u.dtype), np.empty((t, 2, n, 4 * h), u.dtype)
         back = u.transpose(0, 2, 1)
         for k in range(t - 1, -1, -1):
             i, f, o, g, tanh, old, _ = tape[k]
@@ -98,10 +98,11 @@ class BiLstmCrf:
         for d in (0, 1):
             flat = dz[:, d].reshape(t * n, 4 * h)
             grad["u"][d] = before[:, d].reshape(t * n, h).T @ flat
-            grad["w"][d] = (symbols[:, None] == both[:, d].reshape(1, t * n)).astype(float) @ flat
+            grad["w"][d] = (symbols[:, None] == both[:, d].reshape(1, t * n)).astype(flat.dtype) @ flat
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int, batch: int = 64, rate: float = 0.02, seed: int = 11) -> list[float]:
-        """Adam over shuffled batches; the losses of the epochs."""
+        """Adam over shuffled batches, in single precision; the losses of the epochs."""
+        self.slim()
         r, losses, step = np.random.default_rng(seed), [], 0
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(a) for k, a in self.p.items()}
@@ -121,7 +122,7 @@ class BiLstmCrf:
         return losses
 
     def slim(self) -> BiLstmCrf:
-        """For decoding: single precision."""
+        """In single precision."""
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         return self
 

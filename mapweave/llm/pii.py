@@ -172,7 +172,7 @@ def trained(n: int = EXAMPLES, epochs: int = EPOCHS, hidden: int = HIDDEN) -> Bi
     """The network of the generated examples; the same on every call and machine up to rounding."""
     model = BiLstmCrf(SYMBOLS, 1 + 2 * len(KINDS), hidden)
     model.fit(*labelled(examples(n)), epochs)
-    return model.slim()
+    return model
 
 
 def _plausible(kind: int, text: str) -> bool:
