@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mapweave.functions import keys as K
 from mapweave.functions import params
-from mapweave.operators import binning, extent, mvt, pixels, raster, tiles
+from mapweave.operators import binning, extent, mvt, pixels, raster, regression, tiles
 from mapweave.sources import store
 from mapweave.sources.occurrence import base_filter
 
@@ -51,14 +51,14 @@ def pointers_of(config: store.Config) -> str:
     return f"{config.target}_pointers"
 
 
-def served(spark: SparkSession, config: store.Config, epsg: str, z: int, x: int, y: int, request: dict[str, list[str]]) -> DataFrame:
+def served(spark: SparkSession, config: store.Config, epsg: str, z: int, x: int, y: int, request: dict[str, list[str]], key: str | None = None) -> DataFrame:
     """The rows that a request by parameters gets: one tile of a map, filtered, masked, and binned or flattened.
 
-    Keys, years and bases come from the parameters, tables from the pointers as they stand. A stored tile is read
-    from its folder; a key that has none on this map is made from its point list.
+    Keys, years and bases come from the parameters, or the key as it is, tables from the pointers as they stand. A
+    stored tile is read from its folder; a key that has none on this map is made from its point list.
     """
     pointers = store.read_pointers(spark, pointers_of(config))
-    key, mask = params.map_keys(request)
+    key, mask = (key, None) if key else params.map_keys(request)
     first = lambda name, other=None: (request.get(name) or [other])[0]
 
     def rows_of(k: str) -> DataFrame:
@@ -87,6 +87,17 @@ def served_bytes(spark: SparkSession, config: store.Config, epsg: str, z: int, x
     return mvt.encoded_polygons(rows.withColumn("ring", point), config.tile_size)
 
 
+def served_trends(spark: SparkSession, config: store.Config, epsg: str, z: int, x: int, y: int, request: dict[str, list[str]], group: str, min_years: int = 2) -> DataFrame:
+    """Trends by hexagon (q, r) of a request's map within the map with the key ``group``, from records fit for trends."""
+
+    def yearly(key_request: dict[str, list[str]], key: str | None = None) -> DataFrame:
+        asked = {k: v for k, v in key_request.items() if k in ("year", *params.MAP_TYPES, "checklistKey")} | {"bin": ["hex"], "verbose": ["true"], "basisOfRecord": list(regression.SUITABLE)}
+        rows = served(spark, config, epsg, z, x, y, asked, key)
+        return rows.where("year > 0").select("q", "r", "year", F.col("total").alias("n"))
+
+    return regression.trends(yearly(request), yearly({k: v for k, v in request.items() if k == "year"}, group), ["q", "r"], min_years)
+
+
 def served_image(spark: SparkSession, config: store.Config, epsg: str, z: int, x: int, y: int, request: dict[str, list[str]]) -> DataFrame:
     """``served`` as an image in the style that the request names; points only, no row where the tile is empty."""
     points = {k: v for k, v in request.items() if k not in ("bin", "verbose")}

@@ -379,6 +379,7 @@ _ASKED = {"country": ["NATION_3"], "year": ["1996,"], "basisOfRecord": ["OBSERVA
 _ANSWER = O.with_(*_tiles_sql(lowest=2, keys=O.NON_TAXON)) + f"select {_AT}, sum(cnt) as total from tiles where {_TILE} and mapKey = '{COUNTRY}' and year >= 1996 and bor in ('OBSERVATION', 'HUMAN_OBSERVATION') group by all"
 register("stored_tile", _stored, O.with_(*_tiles_sql(lowest=2)) + f"select {_AT}, bor, year, sum(cnt) as cnt from tiles where {_TILE} group by all")
 register("served_tile", _served(1, **_ASKED), _ANSWER)
+register("served_trends", lambda s, d: _fit(build.served_trends(s, _built(s, d, threshold=1), "EPSG:3857", 2, 2, 1, {"country": ["NATION_3"]}, K.ALL_KEY)), ORACLES["regression_hex"])
 register("served_capabilities", lambda s, d: build.served_capabilities(s, _built(s, d, threshold=1, projections=("EPSG:4326",), max_zoom=0), {}), ORACLES["capabilities"])
 register("served_points", _served(10**12, **_ASKED), _ANSWER)
 
