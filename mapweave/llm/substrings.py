@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from mapweave.llm import blocks as B
 from mapweave.llm.session import checkpointed
-from mapweave.llm.words import U, WordKeys, keyed, windows
+from mapweave.llm.words import SECOND, U, WordKeys, keyed, windows
 
 WINDOW = 13
 #: Bits of a probe's key beyond those that number the corpus's bytes.
@@ -52,7 +52,7 @@ class _Anchors:
 
 
 class _Windows:
-    """Windows that hold a hit, as (key, position, document), and the smallest document of each distinct key."""
+    """Windows that hold a hit, as (position, document), and the smallest document of each distinct pair of keys."""
 
     def __init__(self, docs: bytes, window: int, bits: int, hits: np.ndarray) -> None:
         a = _Anchors(docs, window, bits)
@@ -62,13 +62,24 @@ class _Windows:
         before = np.cumsum(hit)  # hits among the probes that start before a position
         key, at, of = windows(a.words, a.ends, window)
         held = before[at + window - (window + 1) // 2 + 1] > before[at]
-        self.key, self.at, self.of = key[held], at[held], of[held]
+        self.at, self.of = at[held], of[held]
         self.doc = np.array([NO_DOC if i is None else i for i in self.ids], np.int64)[self.of]
-        self.keys, self.inverse = np.unique(self.key, return_inverse=True)
+        self.keys, self.checks, self.inverse = distinct(key[held], windows(a.words, a.ends, window, SECOND)[0][held])
         self.low = np.full(len(self.keys), NO_DOC)
         np.minimum.at(self.low, self.inverse, self.doc)
 
 
+def distinct(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs in order, keys and checks, and which of them each pair is."""
+    order = np.lexsort((checks, keys))
+    key, check = keys[order], checks[order]
+    first = np.ones(len(order), bool)
+    first[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
+    inverse = np.empty(len(order), np.int64)
+    inverse[order] = np.cumsum(first) - 1
+    return key[first], check[first], inverse
+
+
 def _joined(replies: dict[int, dict[int, bytes]], part: int, kind) -> np.ndarray:
     return np.concatenate([np.empty(0, kind), *(B.inflate(x, kind) for _, x in sorted(replies.get(part, {}).items()))])
 
@@ -101,16 +112,21 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, block_bytes: int = B.BLO
         return [B.deflate(hit[np.searchsorted(keys, k)]) for k, _ in asked], (0, 0)
 
     def smallest(parts, requests):
-        asked = [(B.inflate_sorted(k), B.inflate(d, np.int64)) for k, d in map(B.unframed, requests)]
-        keys, at = np.unique(np.concatenate([k for k, _ in asked]), return_inverse=True)
+        asked = []
+        for request in requests:
+            keys, rest = B.unframed(request)
+            checks, low = B.unframed(rest)
+            asked.append((B.inflate_sorted(keys), B.inflate(checks, U), B.inflate(low, np.int64)))
+        keys, _, at = distinct(*(np.concatenate([x[k] for x in asked]) for k in (0, 1)))
         low = np.full(len(keys), NO_DOC)
-        np.minimum.at(low, at, np.concatenate([d for _, d in asked]))
-        return [B.deflate(low[np.searchsorted(keys, k)]) for k, _ in asked], (0, 0)
+        np.minimum.at(low, at, np.concatenate([x[2] for x in asked]))
+        parted = np.split(low[at], np.cumsum([len(x[0]) for x in asked])[:-1])
+        return [B.deflate(x) for x in parted], (0, 0)
 
     def extend(block: bytes, replies):
         w = _Windows(block, window, bits, _joined(replies, 1, np.uint8))
         bounds = B.bucket_bounds(w.keys, n)
-        rows = [(b, B.framed(B.deflate_sorted(w.keys[i:j]), B.deflate(w.low[i:j]))) for b in range(n) if (i := bounds[b]) < (j := bounds[b + 1])]
+        rows = [(b, B.framed(B.deflate_sorted(w.keys[i:j]), B.framed(B.deflate(w.checks[i:j]), B.deflate(w.low[i:j])))) for b in range(n) if (i := bounds[b]) < (j := bounds[b + 1])]
         return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int64()), "part": pa.array([2] * len(rows), pa.int32()), "keys": pa.array([x for _, x in rows], pa.binary())})
 
     def remove(block: bytes, replies):

@@ -42,14 +42,18 @@ def keyed(texts: list[bytes | None], keys: WordKeys, lower: bool = False) -> tup
     return np.fromiter(map(keys.__getitem__, chain.from_iterable(lists)), U, int(ends[-1])), ends
 
 
-def windows(words: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Odd numbers that window keys are made with; two keys of one window together are as good as one of 128 bits.
+FIRST, SECOND = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+
+
+def windows(words: np.ndarray, ends: np.ndarray, k: int, factor: int = FIRST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Every window of k words inside one text: its key, the position of its first word, and its text."""
     n = len(words) - k + 1
     if n <= 0:
         return np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64)
     key = words[:n].copy()
     for j in range(1, k):
-        key *= U(0x9E3779B97F4A7C15)
+        key *= U(factor)
         key += words[j : n + j]
     of = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
     at = np.flatnonzero(of[:n] == of[k - 1 :])
