@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from mapweave.llm.automata import begins, compiled, linked, longest, parsed, reversed_node
-from mapweave.llm.session import documents, prepare
+from mapweave.llm.session import documents, prepare, release
 
 
 @dataclass(frozen=True)
@@ -118,6 +118,7 @@ def found(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             out["base_sha256"] = pa.array([hashlib.sha256(_joined([x for x in spans if x[1] in base], rules).encode()).hexdigest() for spans in all_spans], pa.string())
             out["spans"] = pa.array([_joined(spans, rules) for spans in all_spans], pa.string())
             yield pa.RecordBatch.from_pydict(out)
+        release()
 
     return documents(docs).mapInArrow(run, schema)
 
@@ -153,5 +154,6 @@ def redacted(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
                 kept = columns[k].to_pylist()
                 columns[k] = pa.array([len(t) if c else n for t, c, n in zip(texts, changed, kept, strict=True)], columns[k].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        release()
 
     return docs.mapInArrow(run, schema)
