@@ -82,6 +82,8 @@ class Model:
         s, a = re.escape("".join(marks)), rf"[^\W_{odd}]"
         #: Cuts between letters or digits and marks, where no piece has such a pair; otherwise only at spaces.
         self.words = re.compile(rf" *{a}+(?=[ \n{s}]|$)| *[{s}]+(?=[ \n]|{a}|$)| *[^ \n]+| +|\n" if marks else r" *[^ \n]+| +|\n")
+        #: What stands between two spaces is one word unless it has one of these.
+        self.cuts = "[\n" + "".join(f"\\{c}" for c in marks) + "]"
         raw = {i: p.replace(SPACE, " ").encode() for p, (_, i) in self.pieces.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
         self.raw = [raw.get(i, b"") for i in everything]
 
@@ -141,19 +143,26 @@ def _blocks(batches):
 class _Block:
     """The distinct words of a block, numbered in their order, and its documents as such numbers."""
 
-    def __init__(self, place: int, ids: list, texts: list[str | None], find) -> None:
+    def __init__(self, place: int, ids: list, texts: list[str | None], find, cuts: str) -> None:
         plain = [t if t and not _spaced(t) else None for t in texts]
         self.odd = [k for k, t in enumerate(texts) if t and plain[k] is None]
         split = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
         self.counts = pc.list_value_length(split).fill_null(0).to_numpy().astype(np.int64)
         coded = pc.dictionary_encode(pc.list_flatten(split))
         del plain, split
-        self.indices, pieces, sizes, words = coded.indices.to_numpy(), coded.dictionary, [], []
-        odd = (" " + texts[k].replace(SPACE, " ") for k in self.odd)
-        for at in range(0, len(pieces), PIECES_AT_ONCE):
-            self._cut((" " + p for p in pieces.slice(at, PIECES_AT_ONCE).to_pylist()), find, sizes, words)
-        self._cut(odd, find, sizes, words)
-        self.n_pieces, self.sizes = len(pieces), np.concatenate(sizes)
+        self.indices, pieces = coded.indices.to_numpy(), coded.dictionary.cast(pa.string())
+        whole = ~pc.match_substring_regex(pieces, cuts).to_numpy(zero_copy_only=False)
+        words, sizes = [pc.binary_join_element_wise(" ", pieces.filter(pa.array(whole)), "")], []
+        parted, self.n_pieces = np.flatnonzero(~whole), len(pieces)
+        for at in range(0, len(parted), PIECES_AT_ONCE):
+            self._cut((" " + p for p in pieces.take(pa.array(parted[at : at + PIECES_AT_ONCE])).to_pylist()), find, sizes, words)
+        self._cut((" " + texts[k].replace(SPACE, " ") for k in self.odd), find, sizes, words)
+        #: Where the words of a piece, or of a text that goes alone, begin among all, and how many they are.
+        rest = np.concatenate([parted, self.n_pieces + np.arange(len(self.odd))])
+        self.sizes, self.begin = np.ones(self.n_pieces + len(self.odd), np.int64), np.empty(self.n_pieces + len(self.odd), np.int64)
+        self.begin[: self.n_pieces][whole] = np.arange(int(whole.sum()))
+        self.sizes[rest] = np.concatenate(sizes)
+        self.begin[rest] = int(whole.sum()) + np.cumsum(self.sizes[rest]) - self.sizes[rest]
         words = pc.dictionary_encode(pa.chunked_array(words, pa.string())).combine_chunks()
         order = pc.sort_indices(words.dictionary)  # neighbours share their beginnings, which compress
         rank = np.empty(len(order), np.int32)
@@ -180,12 +189,12 @@ class _Block:
         of, here = np.empty(int(starts[-1]), np.int32), np.ones(int(starts[-1]), bool)  # per text its pieces, or itself
         here[starts[self.odd]] = False
         of[here], of[~here] = self.indices, self.n_pieces + np.arange(len(self.odd))
-        begin, flat = np.concatenate([[0], np.cumsum(self.sizes)])[:-1], []
+        flat = []
         for low in range(0, len(of), PIECES_AT_ONCE):
             some = of[low : low + PIECES_AT_ONCE]
             sizes = self.sizes[some]
             after = np.cumsum(sizes)
-            flat.append(self.at[np.repeat(begin[some] - (after - sizes), sizes) + np.arange(int(after[-1]))])
+            flat.append(self.at[np.repeat(self.begin[some] - (after - sizes), sizes) + np.arange(int(after[-1]))])
         lengths = np.diff(np.concatenate([[0], np.cumsum(self.sizes[of])])[starts])
         flat = np.concatenate([np.empty(0, np.int32), *flat])
         del of, here, starts
@@ -226,6 +235,8 @@ def _pack_answers(batches):
             held = []
     if held:
         yield from flush()
+        held = []
+    release()
 
 
 def lattice(words: DataFrame, model: Model) -> DataFrame:
@@ -244,26 +255,22 @@ def lattice(words: DataFrame, model: Model) -> DataFrame:
     parts = parts.select("word", "s", "l", F.substr(F.col("word"), F.col("s") + 1, F.col("l")).alias("piece"))
     edges = parts.join(pieces, "piece", "left").where(F.col("id").isNotNull() | (F.col("l") == 1))
     left = lambda x, n: F.call_function("shiftleft", x, n if isinstance(n, Column) else F.lit(n))
-    right = lambda x, n: F.call_function("shiftright", x, F.lit(n))
     place = left(F.col("s").cast("long"), 30).bitwiseOR(left(F.col("l").cast("long"), 24)).bitwiseOR(F.coalesce(F.col("id"), F.lit(UNKNOWN) + F.ascii("piece")).cast("long"))
     edge = left(F.coalesce("rank", F.lit(0)).cast("long"), 36).bitwiseOR(place)
-    grouped = edges.groupBy("word").agg(F.sort_array(F.collect_list(F.when(F.col("l") > 1, edge))).alias("merges"), F.collect_list(F.when(F.col("l") == 1, edge)).alias("singles"))
-
     one = F.lit(1).cast("long")
-    start = lambda e: right(e, 30).bitwiseAND(63).cast("int")
-    length = lambda e: right(e, 24).bitwiseAND(63).cast("int")
-    inner = lambda e: left(left(one, length(e) - 1) - 1, start(e) + 1)
-    ends = lambda e: left(one.bitwiseOR(left(one, length(e))), start(e))
-    open_ = lambda m, e: m.bitwiseAND(ends(e)) == ends(e)
-    within = lambda m, e: F.bit_count(m.bitwiseAND(inner(e)))
-    folded = F.aggregate("merges", left(one, F.length("word") + 1) - 1, lambda m, e: F.when((within(m, e) == 1) & open_(m, e), m.bitwiseAND(F.bitwise_not(inner(e)))).otherwise(m))
-    done = grouped.select("word", "merges", "singles", folded.alias("mask"))
-    mask = F.col("mask")
-    taken = done.select("word", F.filter("merges", lambda e: (within(mask, e) <= 1) & open_(mask, e)).alias("many"), F.filter("singles", lambda e: open_(mask, e)).alias("few"), mask)
-    low = F.lit((1 << 36) - 1)
-    order = F.sort_array(F.transform(F.concat("many", "few"), lambda e: e.bitwiseAND(low)))
+    inner, ends = left(left(one, F.col("l") - 1) - 1, F.col("s") + 1), left(one.bitwiseOR(left(one, F.col("l"))), F.col("s"))
+    # The masks of an edge are made with it, where expressions are compiled; within the fold they are not.
+    grouped = edges.groupBy("word").agg(F.sort_array(F.collect_list(F.struct(edge.alias("edge"), inner.alias("inner"), ends.alias("ends")))).alias("edges"))
+
+    within = lambda m, a: F.bit_count(m.bitwiseAND(a["inner"]))
+    open_ = lambda m, a: m.bitwiseAND(a["ends"]) == a["ends"]
+    # A single character has no inner boundary, so the fold passes it by.
+    folded = F.aggregate("edges", left(one, F.length("word") + 1) - 1, lambda m, a: F.when((within(m, a) == 1) & open_(m, a), m.bitwiseAND(F.bitwise_not(a["inner"]))).otherwise(m))
+    done, mask = grouped.select("word", "edges", folded.alias("mask")), F.col("mask")
+    taken = done.select("word", mask, F.filter("edges", lambda a: (within(mask, a) <= 1) & open_(mask, a)).alias("taken"))
+    order = F.sort_array(F.transform("taken", lambda a: a["edge"].bitwiseAND((1 << 36) - 1)))
     # Pieces that cover the word once, and no more, are one fewer than its boundaries.
-    return taken.select("word", order.alias("all"), (F.size("many") + F.size("few") + 1 != F.bit_count("mask")).alias("again")).select("word", F.transform("all", lambda e: e.bitwiseAND((1 << 24) - 1).cast("int")).alias("ids"), "again")
+    return taken.select("word", F.transform(order, lambda e: e.bitwiseAND((1 << 24) - 1).cast("int")).alias("ids"), (F.size("taken") + 1 != F.bit_count("mask")).alias("again"))
 
 
 def segmented(words: DataFrame, pieces: DataFrame, unknown: float, longest: int) -> DataFrame:
@@ -320,11 +327,11 @@ def _encoded(docs: DataFrame, model: Model, finish: Callable, schema: str) -> Da
     prepare(spark)
     docs, n = stable(documents(docs)), WORD_PARTITIONS * shuffle_partitions(spark)
 
-    find = model.words.findall
+    find, cuts = model.words.findall, model.cuts
 
     def ask(batches):
         for place, ids, texts in _blocks(batches):
-            block = _Block(place, ids, texts, find)
+            block = _Block(place, ids, texts, find, cuts)
             for at in range(0, len(block.asked), WORDS_AT_ONCE):
                 some = block.asked[at : at + WORDS_AT_ONCE]
                 yield pa.RecordBatch.from_arrays([block.words.take(pa.array(some)), pa.array(some + place, pa.int64())], names=["word", "key"])
@@ -333,7 +340,7 @@ def _encoded(docs: DataFrame, model: Model, finish: Callable, schema: str) -> Da
 
     def pack(batches):
         for place, ids, texts in _blocks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), pa.array([_Block(place, ids, texts, find).packed()], pa.binary())], names=["block", "docs"])
+            yield pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), pa.array([_Block(place, ids, texts, find, cuts).packed()], pa.binary())], names=["block", "docs"])
             release()
 
     asked = docs.mapInArrow(ask, "word string, key long").where("word is not null and key is not null").repartition(n, "word")
