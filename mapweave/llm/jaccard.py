@@ -9,9 +9,14 @@ It is dealt by hash into parts of about ``PART`` sets, otherwise in each bucket
 copies join up in some part, and every bucket costs rows in proportion to its sets. Sets that agree in
 part only also meet in small buckets, along their other tokens. Runs repeat until a pair at the threshold
 is met with the target probability. Nothing here gathers a bucket that is not small: sizes are counted first.
+Comparisons in these buckets use 256-bit minwise sketches with a wide margin.
 
-Comparisons in buckets use 256-bit minwise sketches with a wide margin and give candidate groups (as
-spanning edges, never as pairs). Inside a group links are exact: its sets are cut into blocks by distance
+Runs, parts and sketches can each lose a pair, so ``covering`` closes what they leave: one step of a path on which every
+set goes down to so many of its first tokens, in one order for all sets, that two sets at the threshold share a child
+for certain. A bucket there is split by parity bits, which are never further apart than the sets are; one too
+large to be gathered goes into one group as a whole, sizes permitting. No pair at the threshold is lost.
+
+Both give candidate groups (as spanning edges, never as pairs). Inside a group links are exact: its sets are cut into blocks by distance
 from a pivot, which decides most pairs of blocks by the triangle inequality; where it does not, the blocks
 meet and all pairs across them are compared by their whole shingle sets. So every link inside a group
 is found and counted, also those that no bucket held. A group is cut into ``BLOCKS`` blocks at most, so that
@@ -48,7 +53,13 @@ SKETCH_WORDS = 4
 CHUNK_BYTES = 3 << 20
 #: Sets that a task remembers, in order to emit a set's tokens once; a set it has forgotten is emitted again.
 REMEMBERED = 500_000
-SETS = "doc_id long, set_id binary, n int, sketch binary, tokens binary, paths array<struct<path:long,sub:binary>>"
+#: Sets whose tokens are counted for the order of ``covering``: one in ``ORDER_SHARE``, and about ``ORDER_SETS`` at least.
+ORDER_SETS, ORDER_SHARE = 10_000, 64
+#: Tokens that the order puts last at most, and sets of a bucket that ``covering`` compares by bits.
+FREQUENT, GATHERED = 500_000, 1000
+#: Parity bits of a set at least and at most; more bits tell more, and fewer lose nothing.
+BITS_LEAST, BITS_MOST = 64, 1 << 15
+SETS = "doc_id long, set_id binary, n int, sketch binary, bits binary, tokens binary, paths array<struct<path:long,sub:binary>>"
 NODES = "path long, set_id binary, n int, sketch binary, sub binary"
 FAR = "root binary, set_id binary, n int, copies long, tokens binary, far double"
 
@@ -92,8 +103,17 @@ def sketches(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(U)
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """For each of about as many bins as there are tokens, whether it holds an odd number of them.
+
+    A token more or less changes one bit, so two sets differ in as many tokens as their bits differ at least.
+    """
+    bins = min(max(BITS_LEAST, 1 << (len(tokens) - 1).bit_length()), BITS_MOST)
+    return np.packbits((np.bincount((tokens & U(bins - 1)).astype(np.int64), minlength=bins) & 1).astype(np.uint8)).tobytes()
+
+
 def shingled(docs: DataFrame, runs: int) -> DataFrame:
-    """Per document: its set's id and size, and where the task meets the set first its sketch, tokens and paths."""
+    """Per document: its set's id and size, and where the task meets the set first its sketch, bits, tokens and paths."""
     seeds = [int(mix(np.array([r + 1], U))[0]) for r in range(runs)]
 
     def some(ids, texts, keys, seen):
@@ -136,10 +156,11 @@ def shingled(docs: DataFrame, runs: int) -> DataFrame:
             [
                 pa.array(ids, pa.int64()), pa.array(set_ids, pa.binary()), pa.array(sizes, pa.int32()),
                 pa.array([sketch[place[i]].tobytes() if i in place else None for i in range(len(ids))], pa.binary()),
+                pa.array([parity(tokens[ends[i] : ends[i + 1]]) if i in place else None for i in range(len(ids))], pa.binary()),
                 pa.array([deflate_sorted(tokens[ends[i] : ends[i + 1]]) if i in place else None for i in range(len(ids))], pa.binary()),
                 pa.array([paths[place[i]] if i in place else None for i in range(len(ids))], pa.list_(pa.struct([("path", pa.int64()), ("sub", pa.binary())]))),
             ],
-            names=["doc_id", "set_id", "n", "sketch", "tokens", "paths"],
+            names=["doc_id", "set_id", "n", "sketch", "bits", "tokens", "paths"],
         )
 
     def run(batches):
@@ -253,7 +274,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(sets: DataFrame) -> DataFrame:
-    """Edges (u, v) that join the sets of every candidate group; their number is bounded by that of the nodes."""
+    """Edges (u, v) that join the sets of every group that the paths find; their number is bounded by that of the nodes."""
     rows = sets.where(F.col("paths").isNotNull()).select(F.inline("paths"), "set_id", "n", "sketch").select("path", "set_id", "n", "sketch", "sub")
     buckets = None
     for level in range(1, DEPTH + 1):
@@ -269,6 +290,184 @@ def candidates(sets: DataFrame) -> DataFrame:
     return buckets.repartition("path", "part").sortWithinPartitions("path", "part", "set_id").mapInArrow(_compare, "u binary, v binary")
 
 
+def covering_length(n: int) -> int:
+    """So many first tokens of a set of n that all others together are fewer than any set at the threshold shares with it."""
+    return n - -(-PERCENT * n // 100) + 1
+
+
+def _frequent(sets: DataFrame) -> np.ndarray:
+    """Tokens for the end of the order, sorted: those that are frequent in a share of the sets.
+
+    Every order finds every pair, and so any share will do: one that puts frequent tokens last has smaller buckets. Counted
+    are twice the tokens that a set goes down to, as others take the place of those put last.
+    """
+    share = min(1, max(1 / ORDER_SHARE, ORDER_SETS / max(sets.count(), 1)))
+
+    def run(batches):
+        for batch in batches:
+            for packed in batch["tokens"].to_pylist():
+                tokens = inflate_sorted(packed)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[: 2 * covering_length(len(tokens))].view(np.int64))], names=["token"])
+
+    some = sets.where(F.pmod(F.xxhash64("set_id", F.lit("order")), F.lit(1 << 20)) < int(share * (1 << 20))).select("tokens").mapInArrow(run, "token long")
+    counts = some.groupBy("token").agg(F.count("*").alias("sets")).where(F.col("sets") >= max(3, math.ceil(SMALL * share)))
+    return np.sort(counts.orderBy(F.desc("sets"), "token").limit(FREQUENT).toArrow()["token"].to_numpy().view(U))
+
+
+def _covering(frequent: np.ndarray) -> Callable:
+    """Rows (token, key) of the tokens that each set goes down to: the first ones that are not frequent, then the frequent ones."""
+
+    def common(tokens):
+        at = np.searchsorted(frequent, tokens)
+        at[at == len(frequent)] = 0
+        return frequent[at] == tokens
+
+    def run(batches):
+        for batch in batches:
+            keys, firsts, held = [], [], 0
+            for key, packed in zip(batch["key"].to_pylist(), batch["tokens"].to_pylist(), strict=True):
+                tokens = inflate_sorted(packed)
+                length = covering_length(len(tokens))
+                first = tokens[:length]
+                if len(frequent) and common(first).any():
+                    last = common(tokens)
+                    first = np.concatenate([tokens[~last][:length], tokens[last]])[:length]
+                keys.append(key)
+                firsts.append(first)
+                held += length
+                if held > 100_000:
+                    yield children(keys, firsts)
+                    keys, firsts, held = [], [], 0
+            if keys:
+                yield children(keys, firsts)
+        release()
+
+    def children(keys, firsts):
+        columns = [np.concatenate(firsts).view(np.int64), np.repeat(np.array(keys, np.int64), [len(x) for x in firsts])]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "key"])
+
+    return run
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (token, key) as the buckets of two keys or more; one that is too large as a row for each key, with its token."""
+
+    def made(tokens, keys, token):
+        """Buckets of whole runs; or with a token, rows of a run that is too large."""
+        starts = np.arange(len(keys)) if token is not None else np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        sizes = np.diff(np.concatenate([starts, [len(keys)]]))
+        take = np.ones(len(starts), bool) if token is not None else sizes > 1
+        ends = np.concatenate([[0], np.cumsum(sizes[take])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[np.repeat(take, sizes)]))
+        return pa.RecordBatch.from_arrays([pa.array([token] * len(lists), pa.int64()), lists], names=["token", "keys"])
+
+    def gathered():
+        rows, size = [], 0
+        for batch in batches:
+            rows.append((batch["token"].to_numpy(), batch["key"].to_numpy()))
+            size += batch.num_rows
+            if size >= 50_000:
+                yield rows
+                rows, size = [], 0
+        if rows:
+            yield rows
+
+    tokens, keys, flowing = np.empty(0, np.int64), np.empty(0, np.int64), None
+    for rows in gathered():
+        tokens, keys = np.concatenate([tokens, *(t for t, _ in rows)]), np.concatenate([keys, *(k for _, k in rows)])
+        if not len(tokens):
+            continue
+        fresh = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (keys[1:] != keys[:-1])])  # a set may come from several tasks
+        tokens, keys = tokens[fresh], keys[fresh]
+        starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        sizes = np.diff(np.concatenate([starts, [len(tokens)]]))
+        over = (sizes > GATHERED) | (tokens[starts] == flowing if flowing is not None else False)
+        for a, n in zip(starts[over].tolist(), sizes[over].tolist(), strict=True):
+            yield made(None, keys[a : a + n], int(tokens[a]))
+        whole = ~over
+        whole[-1] = False
+        whole = np.repeat(whole, sizes)
+        if whole.any():
+            yield made(tokens[whole], keys[whole], None)
+        flowing = int(tokens[-1]) if over[-1] else None
+        tokens, keys = (tokens[:0], keys[:0]) if over[-1] else (tokens[starts[-1] :], keys[starts[-1] :])
+    if len(tokens):
+        yield made(tokens, keys, None)
+    release()
+
+
+def _possible(n: np.ndarray, bits: list[bytes]) -> np.ndarray:
+    """Pairs that sizes and parity bits allow to be at the threshold: all that are, and few others."""
+    width, out = np.array([len(b) for b in bits]), np.zeros((len(n), len(n)), bool)
+
+    def signs(rows, w, at):
+        flat = np.stack([np.bitwise_xor.reduce(np.frombuffer(bits[k], np.uint8).reshape(-1, w)) for k in rows])
+        return 1 - 2 * np.unpackbits(flat[:, at : at + 512], axis=1).astype(np.float32)
+
+    for w in np.unique(width).tolist():
+        rows, columns = np.flatnonzero(width == w), np.flatnonzero((width == w) | (width == 2 * w))
+        alike = np.zeros((len(rows), len(columns)), np.float32)
+        for at in range(0, w, 512):
+            alike += signs(rows, w, at) @ signs(columns, w, at).T
+        a, b = n[rows][:, None], n[columns][None, :]
+        far = (8 * w - alike) / 2
+        out[np.ix_(rows, columns)] = (np.minimum(a, b) * 100 >= PERCENT * np.maximum(a, b)) & (far * (100 + PERCENT) <= (100 - PERCENT) * (a + b))
+    return out | out.T
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every bucket of ``covering`` the edges of a forest that joins the sets which may be at the threshold."""
+    us: list[bytes] = []
+    vs: list[bytes] = []
+
+    def flush():
+        out = pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (us, vs)], names=["u", "v"])
+        us.clear()
+        vs.clear()
+        return out
+
+    for table in _segments(batches, ["bucket"]):
+        ids, n, bits = table["set_id"].to_pylist(), table["n"].to_numpy().astype(np.int64), table["bits"].to_pylist()
+        keep = [i for i in range(len(ids)) if i == 0 or ids[i] != ids[i - 1]]
+        if len(keep) > 1:
+            for i, k in enumerate(_grouped(_possible(n[keep], [bits[i] for i in keep])).tolist()):
+                if i != k:
+                    us.append(ids[keep[i]])
+                    vs.append(ids[keep[k]])
+        if len(us) >= 20_000:
+            yield flush()
+    if us:
+        yield flush()
+    release()
+
+
+def covering(sets: DataFrame) -> DataFrame:
+    """Edges (u, v) such that all sets at the threshold are joined, whatever the paths have missed.
+
+    Of two sets at the threshold the smaller has ``PERCENT`` of the larger's size, and each as much of itself in common
+    with the other; so the first token in common, in any order, is among the ``covering_length`` first of both. Sets of under
+    four tokens are linked with equal ones only. Sets are known by 64 bits until they are compared: should two
+    agree in these, both are compared.
+    """
+    sets = sets.where(F.col("tokens").isNotNull() & (F.col("n") > 3)).select("set_id", F.xxhash64("set_id").alias("key"), "n", "bits", "tokens")
+    rows = sets.select("key", "tokens").mapInArrow(_covering(_frequent(sets)), "token long, key long")
+    found = written(rows.repartition("token").sortWithinPartitions("token", "key").mapInArrow(_buckets, "token long, keys array<long>"))
+    buckets = found.where("token is null").select("keys").distinct().select(F.xxhash64("keys").alias("bucket"), F.explode("keys").alias("key"))
+    rows = buckets.join(sets.select("key", "set_id", "n", "bits"), "key").select("bucket", "set_id", "n", "bits")
+    edges = rows.repartition("bucket").sortWithinPartitions("bucket", "set_id").mapInArrow(_split, "u binary, v binary")
+    large = found.where("token is not null")
+    if not large.limit(1).count():
+        return edges
+    # Sizes at the threshold are in one band or in neighbours: bands are wider than the threshold allows sizes to differ.
+    band = F.floor(F.log(F.col("n")) / math.log(104 / PERCENT)).cast("int")
+    large = written(large.select("token", F.col("keys")[0].alias("key")).join(sets.select("key", "set_id", "n"), "key").select("token", "set_id", band.alias("band")))
+    heads = written(large.groupBy("token", "band").agg(F.min("set_id").alias("head")))
+    within = attached(large, heads, ["token", "band"], "set_id").select(F.col("set_id").alias("u"), F.col("head").alias("v"))
+    above = heads.select("token", (F.col("band") - 1).alias("band"), F.col("head").alias("v"))
+    across = heads.join(above, ["token", "band"]).select(F.col("head").alias("u"), "v")
+    return edges.union(within.union(across).where("u <> v").distinct())
+
+
 def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """How many tokens each set on the left has in common with each on the right."""
     out = np.zeros((len(left), len(right)), np.float32)
@@ -397,7 +596,7 @@ def joined(docs: DataFrame, target_recall: float = TARGET_RECALL) -> DataFrame:
     """
     prepare(docs.sparkSession)
     sets = checkpointed(shingled(docs, runs_needed(target_recall)))
-    groups = components(candidates(sets))
+    groups = components(candidates(sets).union(covering(sets)))
     copies = written(sets.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.count("*").alias("copies"), F.min("doc_id").alias("low")))
     members = groups.select(F.col("node").alias("set_id"), "root").join(copies.select("set_id", "copies"), "set_id")
     tokens = sets.where(F.col("tokens").isNotNull()).select("set_id", "n", "tokens")

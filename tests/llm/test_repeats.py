@@ -197,6 +197,21 @@ def test_join_with_many_hot_paths(spark, monkeypatch):
     assert Counter(map(tuple, got.collect())) == brute_join(rows)
 
 
+@pytest.mark.parametrize("gathered", [1000, 4])
+def test_join_of_pairs_in_hot_paths_only(spark, monkeypatch, gathered):
+    """Pairs that share nothing but passages of many documents: every bucket that holds both is dealt in parts."""
+    monkeypatch.setattr(jaccard, "DEPTH", 1)
+    monkeypatch.setattr(jaccard, "SMALL", 8)
+    monkeypatch.setattr(jaccard, "PART", 2)
+    monkeypatch.setattr(jaccard, "GATHERED", gathered)
+    passages = [" ".join(f"p{a}x{i}" for i in range(40)) for a in range(5)]
+    pairs = [(a, b) for a in range(5) for b in range(a)]
+    rows = [(10 * k + side, f"{passages[a]} v{k}x{side} {passages[b]} w{k}x{side}") for k, (a, b) in enumerate(pairs) for side in (0, 1)]
+    rows += [(1000 + k, f"{passages[k % 5]} {' '.join(f'o{k}x{i}' for i in range(60))}") for k in range(200)]
+    got = jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, got.collect())) == brute_join(rows)
+
+
 @pytest.mark.parametrize("names", [("away", "rows"), ("_away", "AWAY"), ("salt", "set_id"), ("class_id", "n_links")])
 def test_names_pass_through_distinct(spark, names):
     rows = [(1, "a b c d e f g", 5, 6), (2, "a b c d e f g", 7, 8), (2, "a b c d e f g", 7, 8), (3, "other words that stand alone here", 1, 2), (3, "and more words that stand alone", 3, 4)]
