@@ -212,6 +212,16 @@ def test_join_of_pairs_in_hot_paths_only(spark, monkeypatch, gathered):
     assert Counter(map(tuple, got.collect())) == brute_join(rows)
 
 
+def test_distinct_loses_no_pair_at_the_threshold(spark):
+    """Three thousand pairs with 36 shingles of 45 in common: the runs miss some of them."""
+    r, rows = random.Random(3), []
+    for k in range(3000):
+        words = [f"w{r.randrange(10**9)}" for _ in range(49)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[9:]))]
+    kept = jaccard.distinct(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(x.doc_id for x in kept.collect()) == list(range(0, 6000, 2))
+
+
 @pytest.mark.parametrize("names", [("away", "rows"), ("_away", "AWAY"), ("salt", "set_id"), ("class_id", "n_links")])
 def test_names_pass_through_distinct(spark, names):
     rows = [(1, "a b c d e f g", 5, 6), (2, "a b c d e f g", 7, 8), (2, "a b c d e f g", 7, 8), (3, "other words that stand alone here", 1, 2), (3, "and more words that stand alone", 3, 4)]
