@@ -222,6 +222,21 @@ def test_distinct_loses_no_pair_at_the_threshold(spark):
     assert sorted(x.doc_id for x in kept.collect()) == list(range(0, 6000, 2))
 
 
+def test_links_need_no_run(spark, monkeypatch):
+    """Without a single run the covering step finds the same links: sets of many sizes, with and without a common passage."""
+    monkeypatch.setattr(jaccard, "runs_needed", lambda target: 0)
+    r, rows, passage = random.Random(1), [], [f"c{i}" for i in range(30)]
+    for k in range(400):
+        n = r.choice([1, 3, 5, 8, 9, 10, 13, 20, 49, 60, 120, 400])
+        words = passage * (k % 3 == 0) + [f"w{r.randrange(10**9)}" for _ in range(n)]
+        other = words[r.choice([0, 1, 2, max(1, n // 9), max(1, n // 5)]) :]
+        if other and k % 2:
+            other[r.randrange(len(other))] = "x"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    got = jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, got.collect())) == brute_join(rows)
+
+
 @pytest.mark.parametrize("names", [("away", "rows"), ("_away", "AWAY"), ("salt", "set_id"), ("class_id", "n_links")])
 def test_names_pass_through_distinct(spark, names):
     rows = [(1, "a b c d e f g", 5, 6), (2, "a b c d e f g", 7, 8), (2, "a b c d e f g", 7, 8), (3, "other words that stand alone here", 1, 2), (3, "and more words that stand alone", 3, 4)]
