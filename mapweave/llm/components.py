@@ -40,11 +40,11 @@ class Forest:
                 yield a, top
 
 
-def components(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def components(edges: DataFrame, chunk: int = CHUNK, thinned: bool = False) -> DataFrame:
     """Rows (node, root) for every node that an edge (u, v) joins to another; the root is the smallest node joined to it.
 
     A round first replaces every ``chunk`` edges by a forest with as many edges as it has nodes to join, each
-    chunk in its own task. Once all edges fit a chunk that forest is the answer. Otherwise every node goes
+    chunk in its own task; ``thinned`` says that ``forests`` has done so to the edges where they were found. Once all edges fit a chunk that forest is the answer. Otherwise every node goes
     along its edge of the least hash (Boruvka's choice, so that each tree has two nodes at least and the
     nodes fall by half or more), pointers are followed to the ends, and the edges move with their ends. What is
     joined in a round is kept as a table, and the tables are put together backwards: they shrink with the rounds,
@@ -53,10 +53,10 @@ def components(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """
     kind = edges.schema["u"].dataType.simpleString()
     left = edges.select("u", "v").where("u <> v")
-    left = written(left.mapInArrow(_forest(chunk), f"u {kind}, v {kind}"))
+    left = written(left if thinned else left.mapInArrow(forests(chunk), f"u {kind}, v {kind}"))
     joined: list[DataFrame] = []
     while n := left.count():
-        stars = left.coalesce(-(-n // chunk)).mapInArrow(_forest(chunk), f"u {kind}, v {kind}")
+        stars = left.coalesce(-(-n // chunk)).mapInArrow(forests(chunk), f"u {kind}, v {kind}")
         if n <= chunk:
             joined.append(written(stars.select(F.col("u").alias("node"), F.col("v").alias("root"))))
             break
@@ -78,7 +78,9 @@ def components(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return written(tops.union(tops.select(F.col("root").alias("node"), "root").distinct()))
 
 
-def _forest(chunk: int) -> Callable:
+def forests(chunk: int = CHUNK) -> Callable:
+    """Every ``chunk`` edges as those of a forest that joins the same nodes."""
+
     def run(batches):
         forest, seen, kind = Forest(), 0, None
 

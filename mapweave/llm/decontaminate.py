@@ -172,6 +172,8 @@ def _search(sketches: Sketches):
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "item_id", "n_shared", "n_shingles"])
                 start = stop
             release()
+        del keys
+        release()
 
     return run
 

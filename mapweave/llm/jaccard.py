@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapweave.llm.blocks import deflate_sorted, inflate_sorted
-from mapweave.llm.components import Forest, components
+from mapweave.llm.components import Forest, components, forests
 from mapweave.llm.session import attached, checkpointed, documents, prepare, release, unused, written
 from mapweave.llm.words import U, WordKeys, keyed, mix, windows
 
@@ -175,6 +175,9 @@ def shingled(docs: DataFrame, runs: int) -> DataFrame:
                 yield some(ids[start:stop], texts[start:stop], keys, seen)
                 release()
                 start = stop
+            del ids, texts
+        del keys, seen
+        release()
 
     return documents(docs).mapInArrow(run, SETS)
 
@@ -271,6 +274,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield flush()
     if out:
         yield flush()
+    release()
+
+
+def _thinned(found: Callable) -> Callable:
+    """``found`` with its edges as forests, in one worker: a second function on its rows would hold a second worker for each core."""
+    return lambda batches: forests()(found(batches))
 
 
 def candidates(sets: DataFrame) -> DataFrame:
@@ -287,7 +296,7 @@ def candidates(sets: DataFrame) -> DataFrame:
         buckets = small if buckets is None else buckets.union(small)
         if level < DEPTH:
             rows = checkpointed(marked.where(F.col("sets").isNotNull()).select("path", "set_id", "n", "sketch", "sub").mapInArrow(_descend(level), NODES))
-    return buckets.repartition("path", "part").sortWithinPartitions("path", "part", "set_id").mapInArrow(_compare, "u binary, v binary")
+    return buckets.repartition("path", "part").sortWithinPartitions("path", "part", "set_id").mapInArrow(_thinned(_compare), "u binary, v binary")
 
 
 def covering_length(n: int) -> int:
@@ -454,7 +463,7 @@ def covering(sets: DataFrame) -> DataFrame:
     found = written(rows.repartition("token").sortWithinPartitions("token", "key").mapInArrow(_buckets, "token long, keys array<long>"))
     buckets = found.where("token is null").select("keys").distinct().select(F.xxhash64("keys").alias("bucket"), F.explode("keys").alias("key"))
     rows = buckets.join(sets.select("key", "set_id", "n", "bits"), "key").select("bucket", "set_id", "n", "bits")
-    edges = rows.repartition("bucket").sortWithinPartitions("bucket", "set_id").mapInArrow(_split, "u binary, v binary")
+    edges = rows.repartition("bucket").sortWithinPartitions("bucket", "set_id").mapInArrow(_thinned(_split), "u binary, v binary")
     large = found.where("token is not null")
     if not large.limit(1).count():
         return edges
@@ -465,7 +474,7 @@ def covering(sets: DataFrame) -> DataFrame:
     within = attached(large, heads, ["token", "band"], "set_id").select(F.col("set_id").alias("u"), F.col("head").alias("v"))
     above = heads.select("token", (F.col("band") - 1).alias("band"), F.col("head").alias("v"))
     across = heads.join(above, ["token", "band"]).select(F.col("head").alias("u"), "v")
-    return edges.union(within.union(across).where("u <> v").distinct())
+    return edges.union(within.union(across).where("u <> v").distinct().mapInArrow(forests(), "u binary, v binary"))
 
 
 def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -526,6 +535,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if a != b:
                         forest.join(*(int(rows[k]) if k < len(rows) else int(columns[k - len(rows)]) for k in (a, b)))
         yield pa.RecordBatch.from_arrays([table["set_id"].combine_chunks(), pa.array(links, pa.int64()), pa.array([ids[forest.root(k)] for k in range(len(ids))], pa.binary())], names=["set_id", "links", "to"])
+    release()
 
 
 def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -596,7 +606,7 @@ def joined(docs: DataFrame, target_recall: float = TARGET_RECALL) -> DataFrame:
     """
     prepare(docs.sparkSession)
     sets = checkpointed(shingled(docs, runs_needed(target_recall)))
-    groups = components(candidates(sets).union(covering(sets)))
+    groups = components(candidates(sets).union(covering(sets)), thinned=True)
     copies = written(sets.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.count("*").alias("copies"), F.min("doc_id").alias("low")))
     members = groups.select(F.col("node").alias("set_id"), "root").join(copies.select("set_id", "copies"), "set_id")
     tokens = sets.where(F.col("tokens").isNotNull()).select("set_id", "n", "tokens")

@@ -247,7 +247,9 @@ def lattice(words: DataFrame, model: Model) -> DataFrame:
     """
     spark = words.sparkSession
     rows = [(p.replace(SPACE, " "), rank, i) for p, (rank, i) in model.pieces.items()]
-    pieces = spark.createDataFrame(rows, "piece string, rank int, id int")
+    # As a table of Arrow's: from a list Spark would start further Python workers, which stay beside the others.
+    columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32()), strict=True)]
+    pieces = spark.createDataFrame(pa.table(columns, names=["piece", "rank", "id"]))
     if len(rows) <= BROADCAST_PIECES:
         pieces = F.broadcast(pieces)
     parts = words.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("s"))
@@ -351,7 +353,11 @@ def _encoded(docs: DataFrame, model: Model, finish: Callable, schema: str) -> Da
     blocks = docs.mapInArrow(pack, "block long, docs binary")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        release()  # what the last block left
+        made = put_together(left, right)
+        release()  # what the block needed, also of a task's last one
+        return made
+
+    def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows != 1:
             raise RuntimeError("two passes over the documents saw different rows")
         ids, digests, lengths, flat, order, others = pickle.loads(left["docs"][0].as_py())

@@ -61,6 +61,14 @@ def brute_segmentation(word, scores, unknown):
     return best[1], best[0][0]
 
 
+def test_pieces_start_no_workers(spark):
+    """A table made of a list of rows would start Python workers of another kind, which wait beside those in use."""
+    model = lattice.Model()
+    made = lattice.lattice(spark.sql("select 'ab' as word"), model)
+    assert "LogicalRDD" not in made._jdf.queryExecution().analyzed().toString()
+    assert [(x.word, list(x.ids)) for x in made.collect()] == [("ab", model.merged("ab"))]
+
+
 def test_viterbi_over_the_lattice(spark):
     r = random.Random(9)
     scores = {}

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -237,6 +238,34 @@ def test_links_need_no_run(spark, monkeypatch):
     assert Counter(map(tuple, got.collect())) == brute_join(rows)
 
 
+def two_workers(plan: str) -> bool:
+    """Whether a Python function reads the rows of another in the same task, which takes a worker for each."""
+    above: list[tuple[int, str]] = []
+    for line in plan.splitlines():
+        node = re.sub(r"^(\*\(\d+\))? *", "", line.lstrip(" :+-"))
+        depth = len(line) - len(line.lstrip(" :+-"))
+        above = [x for x in above if x[0] < depth]
+        if node.startswith("MapInArrow"):
+            for _, name in reversed(above):
+                if name.startswith("Exchange"):
+                    break
+                if name.startswith("MapInArrow"):
+                    return True
+        above.append((depth, node))
+    return False
+
+
+def test_no_task_of_the_join_holds_two_workers(spark, docs, monkeypatch):
+    plans = []
+    for module in (jaccard, components_module):
+        monkeypatch.setattr(module, "written", lambda df, one=module.written: plans.append(df._jdf.queryExecution().executedPlan().toString()) or one(df))
+    one = docs.select("doc_id", "text").mapInArrow(lambda batches: batches, "doc_id long, text string")
+    assert not two_workers(one._jdf.queryExecution().executedPlan().toString())
+    assert two_workers(one.where("doc_id > 1").mapInArrow(lambda batches: batches, "doc_id long, text string")._jdf.queryExecution().executedPlan().toString())
+    jaccard.joined(docs).count()
+    assert any("MapInArrow" in p for p in plans) and not any(map(two_workers, plans))
+
+
 @pytest.mark.parametrize("names", [("away", "rows"), ("_away", "AWAY"), ("salt", "set_id"), ("class_id", "n_links")])
 def test_names_pass_through_distinct(spark, names):
     rows = [(1, "a b c d e f g", 5, 6), (2, "a b c d e f g", 7, 8), (2, "a b c d e f g", 7, 8), (3, "other words that stand alone here", 1, 2), (3, "and more words that stand alone", 3, 4)]
