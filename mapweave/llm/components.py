@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mapweave.llm.session import attached, written
+from mapweave.llm.session import attached, gathered, written
 
 #: Edges that one task holds at once.
 CHUNK = 250_000
@@ -53,7 +53,7 @@ def components(edges: DataFrame, chunk: int = CHUNK, thinned: bool = False) -> D
     """
     kind = edges.schema["u"].dataType.simpleString()
     left = edges.select("u", "v").where("u <> v")
-    left = written(left if thinned else left.mapInArrow(forests(chunk), f"u {kind}, v {kind}"))
+    left = written(gathered(left if thinned else left.mapInArrow(forests(chunk), f"u {kind}, v {kind}")))
     joined: list[DataFrame] = []
     while n := left.count():
         stars = left.coalesce(-(-n // chunk)).mapInArrow(forests(chunk), f"u {kind}, v {kind}")

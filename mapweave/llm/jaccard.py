@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from mapweave.llm.blocks import deflate_sorted, inflate_sorted
 from mapweave.llm.components import Forest, components, forests
-from mapweave.llm.session import attached, checkpointed, documents, prepare, release, unused, written
+from mapweave.llm.session import attached, checkpointed, documents, fewer, gathered, prepare, release, unused, written
 from mapweave.llm.words import U, WordKeys, keyed, mix, windows
 
 SHINGLE, PERCENT, TARGET_RECALL = 5, 80, 0.99
@@ -285,7 +285,7 @@ def _thinned(found: Callable) -> Callable:
 def candidates(sets: DataFrame) -> DataFrame:
     """Edges (u, v) that join the sets of every group that the paths find; their number is bounded by that of the nodes."""
     rows = sets.where(F.col("paths").isNotNull()).select(F.inline("paths"), "set_id", "n", "sketch").select("path", "set_id", "n", "sketch", "sub")
-    buckets = None
+    buckets, spark = None, sets.sparkSession
     for level in range(1, DEPTH + 1):
         large = written(rows.groupBy("path").agg(F.count("*").alias("sets")).where(F.col("sets") > SMALL))
         # At most one path for every SMALL rows; beyond what may be broadcast, a path's rows are dealt to many tasks.
@@ -295,7 +295,8 @@ def candidates(sets: DataFrame) -> DataFrame:
         small = small.select("path", F.pmod(F.xxhash64("path", "set_id"), parts).cast("int").alias("part"), "set_id", "n", "sketch")
         buckets = small if buckets is None else buckets.union(small)
         if level < DEPTH:
-            rows = checkpointed(marked.where(F.col("sets").isNotNull()).select("path", "set_id", "n", "sketch", "sub").mapInArrow(_descend(level), NODES))
+            rows = marked.where(F.col("sets").isNotNull()).select("path", "set_id", "n", "sketch", "sub").mapInArrow(_descend(level), NODES)
+            rows = checkpointed(rows.coalesce(max(fewer(spark), spark.sparkContext.defaultParallelism)))
     return buckets.repartition("path", "part").sortWithinPartitions("path", "part", "set_id").mapInArrow(_thinned(_compare), "u binary, v binary")
 
 
@@ -460,8 +461,8 @@ def covering(sets: DataFrame) -> DataFrame:
     """
     sets = sets.where(F.col("tokens").isNotNull() & (F.col("n") > 3)).select("set_id", F.xxhash64("set_id").alias("key"), "n", "bits", "tokens")
     rows = sets.select("key", "tokens").mapInArrow(_covering(_frequent(sets)), "token long, key long")
-    found = written(rows.repartition("token").sortWithinPartitions("token", "key").mapInArrow(_buckets, "token long, keys array<long>"))
-    buckets = found.where("token is null").select("keys").distinct().select(F.xxhash64("keys").alias("bucket"), F.explode("keys").alias("key"))
+    found = written(rows.repartition("token").sortWithinPartitions("token", "key").mapInArrow(_buckets, "token long, keys array<long>").distinct())
+    buckets = found.where("token is null").select(F.xxhash64("keys").alias("bucket"), F.explode("keys").alias("key"))
     rows = buckets.join(sets.select("key", "set_id", "n", "bits"), "key").select("bucket", "set_id", "n", "bits")
     edges = rows.repartition("bucket").sortWithinPartitions("bucket", "set_id").mapInArrow(_thinned(_split), "u binary, v binary")
     large = found.where("token is not null")
@@ -620,7 +621,7 @@ def joined(docs: DataFrame, target_recall: float = TARGET_RECALL) -> DataFrame:
     dealt, stars, known = _blocked(members, large)
     dealt = members.join(large, "root", "left_anti").select("root", *(F.lit(0).alias(c) for c in ("x", "y", "own")), "set_id", "copies", "tokens").union(dealt)
     dealt = dealt.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y", "set_id")
-    links = written(dealt.mapInArrow(_links, "set_id binary, links long, to binary"))
+    links = written(gathered(dealt.mapInArrow(_links, "set_id binary, links long, to binary")))
     classes = components(links.select(F.col("set_id").alias("u"), F.col("to").alias("v")).union(stars)).withColumnRenamed("node", "set_id")
     low = classes.join(copies, "set_id").groupBy("root").agg(F.min("low").alias("class_id"))
     counts = links.select("set_id", "links").union(known).groupBy("set_id").agg(F.sum("links").alias("links"))

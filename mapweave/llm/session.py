@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows of text handed to a Python worker at once; with long texts this bounds the worker's memory.
 TEXTS_PER_BATCH = 1000
+#: Shuffle partitions whose results make one file where results are few beside what a task reads.
+SHARE = 8
 #: Copies of a table that ``attached`` deals, so that rows of one key go to as many tasks.
 SALTS = 8
 
@@ -55,6 +57,20 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """The rows dealt to ``fewer`` partitions, for results that are few beside what their tasks read."""
+    return df.repartition(fewer(df.sparkSession))
+
+
+def fewer(spark: SparkSession) -> int:
+    """One partition for every ``SHARE`` of the session: they grow with the input as those do, and are files that hold more.
+
+    Without its native library Hadoop starts a process (``chmod``) for each file, checksum and folder that a task writes to a
+    local disk. For a moment that process counts with the whole memory of the executor that starts it.
+    """
+    return max(1, shuffle_partitions(spark) // SHARE)
+
+
 def stable(df: DataFrame) -> DataFrame:
     """The rows such that several reads give the same ones in the same order: of files or a checkpoint as they are, else checkpointed."""
     lines = df._jdf.queryExecution().analyzed().toString().splitlines()

@@ -266,6 +266,42 @@ def test_no_task_of_the_join_holds_two_workers(spark, docs, monkeypatch):
     assert any("MapInArrow" in p for p in plans) and not any(map(two_workers, plans))
 
 
+def test_few_results_make_few_files(spark, monkeypatch):
+    """Each file that a task writes starts processes: edges, links and nodes below large buckets are few, so are their files, and no bucket is kept twice."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    files, levels, repeated = {}, [], []
+
+    def written(df, one):
+        out = one(df)
+        files.setdefault(",".join(out.columns), []).append(len(out.inputFiles()))
+        if out.columns == ["token", "keys"]:
+            repeated.append(out.count() - out.distinct().count())
+        return out
+
+    def checkpointed(df, one=jaccard.checkpointed):
+        out = one(df)
+        if "sub" in out.columns:
+            levels.append(out.rdd.getNumPartitions())
+        return out
+
+    try:
+        for module in (jaccard, components_module):
+            monkeypatch.setattr(module, "written", lambda df, one=module.written: written(df, one))
+        monkeypatch.setattr(jaccard, "checkpointed", checkpointed)
+        monkeypatch.setattr(jaccard, "SMALL", 8)
+        rows = [(k, " ".join(f"w{k // 4}x{i}" if i != k % 4 else f"v{k}" for i in range(60))) for k in range(240)]
+        rows += [(1000 + k, f"{' '.join(f'p{i}' for i in range(40))} {' '.join(f'o{k}x{i}' for i in range(5))}") for k in range(40)]
+        got = jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(24))
+        assert Counter(map(tuple, got.collect())) == brute_join(rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(levels) == jaccard.DEPTH - 1 and max(levels) <= 8
+    assert max(files["set_id,links,to"]) <= 4 and files["u,v"][0] <= 4
+    assert repeated == [0]
+
+
 @pytest.mark.parametrize("names", [("away", "rows"), ("_away", "AWAY"), ("salt", "set_id"), ("class_id", "n_links")])
 def test_names_pass_through_distinct(spark, names):
     rows = [(1, "a b c d e f g", 5, 6), (2, "a b c d e f g", 7, 8), (2, "a b c d e f g", 7, 8), (3, "other words that stand alone here", 1, 2), (3, "and more words that stand alone", 3, 4)]
